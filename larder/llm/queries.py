@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm.digests import build_digests, certified_percentiles, merge_digests
+from larder.llm.encode import encode_texts
 from larder.llm.groups import connected_groups
+from larder.llm.language import doubtful_labels, label_spans
+from larder.llm.packing import fill_report, pack_texts
 from larder.llm.survivors import surviving_fields
 from larder.runtime import Scratch, table
 
@@ -53,5 +56,38 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return connected_groups(table(spark, folder, "duplicate_candidates", "left_id", "right_id"), "left_id", "right_id")
 
 
-QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p5_percentiles": p5_percentiles, "p5_daily_digests": p5_daily_digests, "p7_found": p7_found}
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its token ids by byte_bpe_50k."""
+    return encode_texts(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+def p9_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document in a container of each plan of packing_plans, sizes in tokens of byte_bpe_50k."""
+    return pack_texts(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", table(spark, folder, "packing_plans"))
+
+
+def p9_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers, tokens and unused share of each plan."""
+    return fill_report(p9_packed(spark, folder), table(spark, folder, "packing_plans"))
+
+
+def _spans(spark: SparkSession, folder: str) -> DataFrame:
+    return label_spans(table(spark, folder, "documents", "doc_id", "text", "lang"), "doc_id", "text", "lang")
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The languages of each document whose label is missing or wrong or whose text mixes languages."""
+    return doubtful_labels(_spans(spark, folder), "doc_id")
+
+
+def p10_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Every segment of every document with its language and confidence."""
+    spans = _spans(spark, folder)
+    return spans.select("doc_id", F.posexplode("spans").alias("segment", "_s")).select("doc_id", "segment", "_s.*")
+
+
+QUERIES = {
+    "p4_found": p4_found, "p5_found": p5_found, "p5_percentiles": p5_percentiles, "p5_daily_digests": p5_daily_digests, "p7_found": p7_found,
+    "p8_ids": p8_ids, "p9_packed": p9_packed, "p9_fill": p9_fill, "p10_found": p10_found, "p10_segments": p10_segments,
+}
 SQL: dict[str, str] = {}
