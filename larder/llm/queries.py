@@ -5,18 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larder.llm.canonical import map_values
 from larder.llm.digests import build_digests, certified_percentiles, merge_digests
 from larder.llm.encode import encode_texts
 from larder.llm.groups import connected_groups
 from larder.llm.language import doubtful_labels, label_spans
 from larder.llm.packing import fill_report, pack_texts
 from larder.llm.survivors import surviving_fields
+from larder.operators.packed import packed_fields, split_packed
 from larder.runtime import Scratch, table
 
 GROUP = ["retailer_name", "region"]
 SHARES = [0.5, 0.9, 0.95, 0.99]
 
 
+def _brands(spark: SparkSession, folder: str) -> DataFrame:
+    values = split_packed(packed_fields(table(spark, folder, "off_products", "rec_id", "brands"), "rec_id", ["brands"]), "field_name", "raw")
+    return map_values(values.select("rec_id", "pos", "val"), "val", table(spark, folder, "brands", "id", "name", "aliases"), "id", "name", "aliases", "brand_id")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Each value of off_products.brands with the id of the brand it means, 0 for none."""
+    return _brands(spark, folder).select("rec_id", "pos", F.col("brand_id").cast("int").alias("brand_id"))
+
+
+def p3_misses(spark: SparkSession, folder: str) -> DataFrame:
+    """Values without entry and how often they occur."""
+    return _brands(spark, folder).filter("brand_id = 0").groupBy("val").agg(F.count(F.lit(1)).alias("n"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """The surviving name, product_name_ru, barcode and image_url of each product with two or more card states."""
     states = table(spark, folder, "card_states", "card_id", "product_id", "provider", "name", "product_name_ru", "barcode", "image_url", "completeness", "updated_at")
@@ -87,7 +104,7 @@ def p10_segments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "p4_found": p4_found, "p5_found": p5_found, "p5_percentiles": p5_percentiles, "p5_daily_digests": p5_daily_digests, "p7_found": p7_found,
+    "p3_found": p3_found, "p3_misses": p3_misses, "p4_found": p4_found, "p5_found": p5_found, "p5_percentiles": p5_percentiles, "p5_daily_digests": p5_daily_digests, "p7_found": p7_found,
     "p8_ids": p8_ids, "p9_packed": p9_packed, "p9_fill": p9_fill, "p10_found": p10_found, "p10_segments": p10_segments,
 }
 SQL: dict[str, str] = {}
