@@ -10,6 +10,7 @@ from larder.llm.digests import build_digests, certified_percentiles, merge_diges
 from larder.llm.encode import encode_texts
 from larder.llm.groups import connected_groups
 from larder.llm.language import doubtful_labels, label_spans
+from larder.llm.listings import group_listings, group_pairs, search_recall
 from larder.llm.packing import fill_report, pack_texts
 from larder.llm.survivors import surviving_fields
 from larder.operators.packed import packed_fields, split_packed
@@ -68,6 +69,20 @@ def p5_daily_digests(spark: SparkSession, folder: str) -> DataFrame:
     return merge_digests(build_digests(once, keys, "price"), keys)
 
 
+def _products(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "products", "id", "name", "brand_id", "category_id", "package_value", "package_unit", "subtype")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Each pair of listings of products that describe the same item."""
+    return group_pairs(group_listings(_products(spark, folder), table(spark, folder, "brands", "id", "name", "aliases")))
+
+
+def p6_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Recall of the tuned search against exact neighbours."""
+    return search_recall(_products(spark, folder), table(spark, folder, "brands", "id", "name", "aliases"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Each product of a pair of duplicate_candidates with the smallest product id of its group."""
     return connected_groups(table(spark, folder, "duplicate_candidates", "left_id", "right_id"), "left_id", "right_id")
@@ -104,7 +119,7 @@ def p10_segments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "p3_found": p3_found, "p3_misses": p3_misses, "p4_found": p4_found, "p5_found": p5_found, "p5_percentiles": p5_percentiles, "p5_daily_digests": p5_daily_digests, "p7_found": p7_found,
+    "p3_found": p3_found, "p3_misses": p3_misses, "p4_found": p4_found, "p5_found": p5_found, "p5_percentiles": p5_percentiles, "p5_daily_digests": p5_daily_digests, "p6_found": p6_found, "p6_recall": p6_recall, "p7_found": p7_found,
     "p8_ids": p8_ids, "p9_packed": p9_packed, "p9_fill": p9_fill, "p10_found": p10_found, "p10_segments": p10_segments,
 }
 SQL: dict[str, str] = {}
