@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 #: Votes that the global mean counts as, and the mean of an empty table.
 PRIOR_VOTES, DEFAULT_MEAN = 20, 7.0
 
 
-def latest(ratings: DataFrame, keys: list[str], *order: str) -> DataFrame:
-    """The latest row per key by ``order`` (last write wins)."""
-    return ratings.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]))).filter("_k = 1").drop("_k")
+def latest(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """The latest row per key by ``order`` (last write wins), as a maximum that is combined before the shuffle."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_x")).select(*keys, "_x.*")
 
 
 def shrunken_ratings(ratings: DataFrame) -> DataFrame:

@@ -12,8 +12,10 @@ from pyspark.sql.window import Window
 
 from larder.functions import text as T
 from larder.functions import trigram as G
-from larder.runtime import small_broadcast
+from larder.runtime import bounded, small_broadcast
 
+#: Queries of one call: the set is held against all rows, so it is passed in blocks of at most this many.
+MAX_QUERIES = 10_000
 #: Weights of the fields a fuzzy hit is scored on.
 FUZZY_WEIGHTS = {"combined": 1.55, "search_text": 1.50, "name": 1.40, "brand": 1.30, "subtype": 0.55}
 PREFIX_BONUS = {"combined": 0.45, "name": 0.40, "brand": 0.35}
@@ -44,9 +46,11 @@ def order_keys(norm_query: F.Column) -> list[F.Column]:
 def strict_search(queries: DataFrame, cat: DataFrame, limit: int = 20) -> DataFrame:
     """(query_id, id, rank): listings that hold every word of the query in some field, best first, ``limit`` a query.
 
-    ``queries`` has query_id and query. The rarest way in is the longest word: it must be contained in the joined fields; the
-    rest are tested on those hits. A one-word query equal to a listing's whole name puts that listing last."""
+    ``queries`` has query_id and query, at most ``MAX_QUERIES`` of them, held against all listings in one pass, as words may
+    stand inside others. A one-word query equal to a listing's whole name puts that listing last."""
     q = queries.select("query_id", T.normalize_text(F.col("query")).alias("nq")).filter("nq <> ''").withColumn("words", F.split("nq", " "))
+    if not bounded(q, MAX_QUERIES):
+        raise ValueError(f"more than {MAX_QUERIES} queries; pass them in blocks")
     fields = F.concat_ws(" ", "n_name", "n_brand", "n_aliases", "n_subtype", "n_keywords", "n_search")
     hit = cat.withColumn("_all", fields).join(F.broadcast(q), F.expr("forall(words, w -> contains(_all, w))"))
     plain = (F.size("words") == 1) & (F.col("n_name") == F.col("nq"))
