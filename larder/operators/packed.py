@@ -79,7 +79,7 @@ def score_signs(values: DataFrame, source: str, raw: str) -> DataFrame:
 
     ``known``: share of the pieces, in rows where the sign is the only candidate outside protected spans, that also occur as
     whole values of the source. ``steady``: share of the sign's rows with at least two non-blank pieces, damped by the
-    spread of their number. One shuffle, on distinct pieces, after map-side counting."""
+    spread of their number on a log scale (a few very long lists decide nothing). One shuffle, on distinct pieces, after map-side counting."""
     names, signs = list(CANDIDATES), list(CANDIDATES.values())
     masked = F.regexp_replace(_prepared(F.col(raw)), f"{_QUOTED}|{_REMARK}|{_NUMBER}|{_ABBREVIATION}", "q")
     all_signs = _class("".join(signs))
@@ -99,7 +99,7 @@ def score_signs(values: DataFrame, source: str, raw: str) -> DataFrame:
     amount = {n: F.when(F.array_contains("_signs", s), F.size(F.filter(F.split("_m", _class(s)), lambda p: F.length(blank_trim(p)) > 0))) for n, s in CANDIDATES.items()}
     steady = base.groupBy("_s").agg(
         *[F.count(amount[n]).alias(f"r_{n}") for n in names],
-        *[(F.avg((amount[n] >= 2).cast("double")) / (1 + F.coalesce(F.stddev_pop(amount[n]), F.lit(0.0)) / F.greatest(F.avg(amount[n]), F.lit(1.0)))).alias(f"c_{n}") for n in names],
+        *[(F.avg((amount[n] >= 2).cast("double")) / (1 + F.coalesce(F.stddev_pop(F.log(F.least(F.greatest(amount[n], F.lit(1)), F.lit(64)))), F.lit(0.0)) / 2)).alias(f"c_{n}") for n in names],
     )
     joined = known.join(steady, "_s", "full")
     rows = F.explode(F.array(*[F.struct(F.lit(n).alias("sign"), F.coalesce(f"r_{n}", F.lit(0)).alias("rows"), F.coalesce(f"k_{n}", F.lit(0.0)).alias("known"), F.coalesce(f"c_{n}", F.lit(0.0)).alias("steady")) for n in names]))

@@ -86,7 +86,7 @@ class Page(HTMLParser):
     def labelled(self, *labels: str) -> str | None:
         """The text after a label, in the same piece or the next."""
         wanted = [x.lower() for x in labels]
-        for text, following in zip(self.texts, [*self.texts[1:], ""], strict=True):
+        for text, following in zip(self.texts, [*self.texts[1:], ""], strict=False):
             for label in wanted:
                 low = text.lower()
                 if low.rstrip(": ") == label and following:
