@@ -130,6 +130,7 @@ class Dictionary:
                 self.exact[key].add(entry)
         self.exact = {k: v for k, v in self.exact.items() if not (k.startswith(".") and len(v) > 1)}
         self.frequency = frequency
+        self.longest = max((len(k) for k in self.exact), default=0)
         self.near: dict[str, list[str]] = defaultdict(list)
         for key in self.exact:
             edits = max(allowed(key), 0)
@@ -149,7 +150,7 @@ class Dictionary:
         for key in keys:
             if key in self.exact:
                 return self._first(self.exact[key]), 0.0
-        words = bare_name(value).replace(".", ". ").split()
+        words = bare_name(value).replace(".", ". ").split() if len(value) <= 200 else []
         if len(words) == 2 and words[0].endswith(".") and len(compact(words[0])) >= 2:
             short = "." + compact("".join(_ALIKE.get(c, c) for c in words[0]))[:3] + compact("".join(_ALIKE.get(c, c) for c in words[1]))
             if short in self.exact:
@@ -157,7 +158,7 @@ class Dictionary:
         best = (float("inf"), 0, 0)
         for step, key in enumerate(keys):
             edits = allowed(key)
-            if not edits:
+            if not edits or len(key) > self.longest + edits:  # longer than any name within reach
                 continue
             seen: set[str] = set()
             for d in deletes(key, edits):
