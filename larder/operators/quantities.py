@@ -3,7 +3,8 @@
 Stated units are read by expressions. For a bare number the unit is assigned by a mixture on the logarithm of the value:
 the stated amounts give, for each base unit, a log-scale mixture density; each candidate unit is that density moved by its
 known conversion factor; weights are fitted to the bare numbers by expectation maximisation on a histogram, and every bare
-number gets the unit of greatest posterior, flagged as uncertain below a threshold.
+number gets the unit of greatest posterior, flagged as uncertain below a threshold. What is stated for goods of the same
+kind (first word of the name) shifts the weights of the base units: milk is stated in millilitres, cheese in grams.
 """
 
 from __future__ import annotations
@@ -15,22 +16,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions import units
+from larder.runtime import small_broadcast
 
 #: Bins of the log10 histograms: steps of 1/BIN over LOW..HIGH, in thousandths of a base unit or in bare values.
 BIN, LOW, HIGH = 20, -4.0, 12.0
 #: Components of each base unit's density, rounds of fitting, and the posterior below which a unit is uncertain.
 COMPONENTS, ROUNDS, CERTAIN = 4, 60, 0.9
+#: Records of all kinds that count as much as one kind's own.
+KIND_PRIOR = 2.0
 #: Units a bare number may stand for: name, base unit, thousandths of the base unit.
 CANDIDATES = [("г", "г", 1e3), ("кг", "г", 1e6), ("мл", "мл", 1e3), ("сл", "мл", 1e4), ("л", "мл", 1e6), ("шт", "шт", 1e3)]
 
 
-def stated_amounts(df: DataFrame, key: str, text: str, value: str, unit: str, text_first: bool) -> DataFrame:
-    """(key, base_unit, amount_milli, stated_in, bare): the stated net content of each record and, where no unit is stated, its bare number.
+def stated_amounts(df: DataFrame, key: str, text: str, value: str, unit: str, text_first: bool, name: str | None = None) -> DataFrame:
+    """(key, base_unit, amount_milli, stated_in, bare, kind): the stated net content of each record and, where no unit is stated, its bare number.
 
     A number with unit in ``text`` and ``value`` with ``unit`` are the two places; ``text_first`` says which goes before. A
     ``text`` that is only a number belongs to ``unit`` if ``text_first``. Null, empty, zero or negative values state
-    nothing. Records are kept as they are, repeated ones too; other columns do not matter."""
-    own = df.select(F.col(key), F.col(text).alias("_text"), F.col(value).cast("string").alias("_value"), units.unit_of(F.col(unit)).alias("_own"))
+    nothing. ``kind`` is the first word of ``name``. Records are kept as they are, repeated ones too; other columns do not
+    matter."""
+    kind = F.nullif(F.regexp_extract(F.lower(F.col(name)), r"\p{L}+", 0), F.lit("")) if name else F.lit(None).cast("string")
+    own = df.select(F.col(key), kind.alias("_kind"), F.col(text).alias("_text"), F.col(value).cast("string").alias("_value"), units.unit_of(F.col(unit)).alias("_own"))
     read = units.with_amount(own, "_text", "_in_text")
     bare = units.number(units.plain_text(F.col("_text"))) if text_first else F.lit(None).cast("decimal(12,4)")
     read = read.withColumn("_bare", bare).withColumn("_number", units.number(F.col("_value")))
@@ -50,7 +56,7 @@ def stated_amounts(df: DataFrame, key: str, text: str, value: str, unit: str, te
         F.when(F.col("_a").isNull(), F.coalesce(positive("_bare"), positive("_number"))).cast("double").alias("bare"),
     )
     # the generator keeps later filters from being inlined into the parsing expressions, which would repeat them
-    return out.select(key, F.explode(F.array(row)).alias("_r")).select(key, "_r.*")
+    return out.select(key, "_kind", F.explode(F.array(row)).alias("_r")).select(key, "_r.*", F.col("_kind").alias("kind"))
 
 
 def _histogram(df: DataFrame, base, value) -> dict[str, np.ndarray]:
@@ -113,10 +119,17 @@ def infer_units(amounts: DataFrame) -> DataFrame:
     parts = fit_units(stated, bare)
     if not parts:
         return amounts.withColumn("confidence", F.when(F.col("amount_milli").isNotNull(), 1.0)).withColumn("uncertain", F.col("amount_milli").isNull())
+    bases = sorted({b for _, b, *_ in parts})
+    share = {b: sum(w for _, c, _, w, _ in parts if c == b) for b in bases}
+    told = amounts.groupBy("kind").agg(*[F.count(F.when(F.col("base_unit") == b, 1)).alias(f"_n{i}") for i, b in enumerate(bases)])
+    total_of = sum((F.col(f"_n{i}") for i in range(len(bases))), F.lit(0))
+    told = told.filter("kind is not null").withColumn("_all", total_of).filter("_all > 0")
+    met = amounts.join(small_broadcast(told), "kind", "left")
+    lift = {b: F.coalesce((F.col(f"_n{i}") + KIND_PRIOR * share[b]) / (F.col("_all") + KIND_PRIOR) / F.lit(max(share[b], 1e-9)), F.lit(1.0)) for i, b in enumerate(bases)}
     x = F.log10("bare")
-    score = lambda f, w, d: F.lit(w) * sum((F.lit(cw / s) * F.exp(F.lit(-0.5) * F.pow((x + math.log10(f) - m) / s, F.lit(2.0))) for cw, m, s in d), F.lit(1e-300))
-    options = F.array(*[F.struct(score(f, w, d).alias("p"), F.lit(b).alias("base_unit"), F.lit(f).alias("f")) for _, b, f, w, d in parts])
-    found = amounts.withColumn("_o", F.when(F.col("bare").isNotNull(), options))
+    score = lambda b, f, w, d: F.lit(w) * lift[b] * sum((F.lit(cw / s) * F.exp(F.lit(-0.5) * F.pow((x + math.log10(f) - m) / s, F.lit(2.0))) for cw, m, s in d), F.lit(1e-300))
+    options = F.array(*[F.struct(score(b, f, w, d).alias("p"), F.lit(b).alias("base_unit"), F.lit(f).alias("f")) for _, b, f, w, d in parts])
+    found = met.withColumn("_o", F.when(F.col("bare").isNotNull(), options))
     best = F.array_max("_o")
     total = F.aggregate("_o", F.lit(0.0), lambda acc, o: acc + o["p"])
     inferred = F.col("bare").isNotNull()
@@ -132,6 +145,6 @@ def infer_units(amounts: DataFrame) -> DataFrame:
 
 def catalogue_amounts(off: DataFrame, prepared: DataFrame) -> DataFrame:
     """Stated amounts of both record tables: (src_table, rec_id, base_unit, amount_milli, stated_in, bare)."""
-    first = stated_amounts(off, "rec_id", "quantity", "product_quantity", "product_quantity_unit", True).withColumn("src_table", F.lit("off_products"))
-    second = stated_amounts(prepared, "rec_id", "name", "package_value", "package_unit", False).withColumn("src_table", F.lit("prepared_products"))
+    first = stated_amounts(off, "rec_id", "quantity", "product_quantity", "product_quantity_unit", True, "product_name_ru").withColumn("src_table", F.lit("off_products"))
+    second = stated_amounts(prepared, "rec_id", "name", "package_value", "package_unit", False, "name").withColumn("src_table", F.lit("prepared_products"))
     return first.unionByName(second)

@@ -30,7 +30,7 @@ def p1_signs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _amounts(spark: SparkSession, folder: str) -> DataFrame:
-    off = _off(spark, folder, "rec_id", "quantity", "product_quantity", "product_quantity_unit")
+    off = _off(spark, folder, "rec_id", "quantity", "product_quantity", "product_quantity_unit", "product_name_ru")
     return catalogue_amounts(off, table(spark, folder, "prepared_products", "rec_id", "name", "package_value", "package_unit"))
 
 

@@ -41,10 +41,17 @@ def test_missing_units_are_inferred_and_flagged(spark):
     assert all(r["stated_in"] == "inferred" and 0 < r["confidence"] <= 1 for r in got.values())
 
 
+def test_kind_shifts_the_unit(spark):
+    rows = [(i, f"{400 + i % 90} {'мл' if i % 2 else 'г'}", None, None, "Молоко" if i % 2 else "Сыр") for i in range(200)] + [(900, "450", None, None, "молоко топлёное"), (901, "450", None, None, "Сыр"), (902, "450", None, None, None)]
+    df = spark.createDataFrame(rows, "rec_id bigint, q string, v string, u string, n string")
+    got = {r["rec_id"]: (r["base_unit"], r["uncertain"]) for r in infer_units(stated_amounts(df, "rec_id", "q", "v", "u", True, "n")).filter("rec_id >= 900").collect()}
+    assert got[900] == ("мл", False) and got[901] == ("г", False) and got[902][1]
+
+
 def test_empty_and_untaught(spark):
-    off, prepared = "rec_id bigint, quantity string, product_quantity string, product_quantity_unit string, bare int", "rec_id bigint, name string, package_value decimal(10,3), package_unit string"
+    off, prepared = "rec_id bigint, quantity string, product_quantity string, product_quantity_unit string, product_name_ru string, bare int", "rec_id bigint, name string, package_value decimal(10,3), package_unit string"
     assert infer_units(catalogue_amounts(spark.createDataFrame([], off), spark.createDataFrame([], prepared))).count() == 0
-    only = infer_units(catalogue_amounts(spark.createDataFrame([(1, "500", None, None, 3)], off), spark.createDataFrame([], prepared))).first()
+    only = infer_units(catalogue_amounts(spark.createDataFrame([(1, "500", None, None, None, 3)], off), spark.createDataFrame([], prepared))).first()
     assert only["amount_milli"] is None and only["uncertain"]
 
 
