@@ -112,7 +112,7 @@ def unescape(col: Column) -> Column:
 
 def decimal_text(col: Column) -> Column:
     """A decimal without trailing zeros; null if it is no number."""
-    text = col.cast("decimal(18,6)").cast("string")
+    text = col.try_cast("decimal(18,6)").cast("string")
     return F.regexp_replace(text, r"\.?0+$", "")
 
 

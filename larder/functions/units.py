@@ -75,9 +75,9 @@ def plain_text(text: Column) -> Column:
     return F.regexp_replace(out, r"(?<![\p{N}.,])(\p{N}{1,3}) (?=\p{N}{3}(?!\p{N}))", "$1")
 
 
-def number(text: Column, scale: int = 4) -> Column:
+def number(text: Column, scale: int = 6) -> Column:
     """A plain number with decimal comma or point, null if it is none."""
-    return F.when(F.trim(text).rlike(r"^\p{N}{1,8}(?:[.,]\p{N}+)?$"), F.replace(F.trim(text), F.lit(","), F.lit("."))).cast(f"decimal(12,{scale})")
+    return F.when(F.trim(text).rlike(r"^\p{N}{1,8}(?:[.,]\p{N}+)?$"), F.replace(F.trim(text), F.lit(","), F.lit("."))).try_cast(f"decimal(14,{scale})")
 
 
 def with_amount(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -98,14 +98,14 @@ def with_amount(df: DataFrame, text: str, out: str) -> DataFrame:
         .when(F.col("_t").rlike(SINGLE), g(SINGLE, 1, 2, 0, 0, 0))
     )
     read = chosen.withColumn("_g", groups).withColumn("_u1", unit_of(F.col("_g")[1])).withColumn("_u2", unit_of(F.col("_g")[4]))
-    count = number(F.coalesce(F.nullif(F.col("_g")[2], F.lit("")), one), 2).cast("decimal(7,2)")
+    count = number(F.coalesce(F.nullif(F.col("_g")[2], F.lit("")), one), 2).try_cast("decimal(7,2)")
     first = number(F.col("_g")[0]) * F.col("_u1.factor") * count
     rest = F.when((F.col("_u1.base") == F.col("_u2.base")) & (F.col("_u2.factor") < F.col("_u1.factor")), number(F.col("_g")[3]) * F.col("_u2.factor") * F.lit("1").cast("decimal(7,2)"))
-    milli = (first + F.coalesce(rest, F.lit(0).cast("decimal(2,1)"))).cast(MILLI)
+    milli = (first + F.coalesce(rest, F.lit(0).cast("decimal(2,1)"))).try_cast(MILLI)
     amount = F.when((milli > 0) & F.col("_u1").isNotNull(), F.struct(F.col("_u1.base").alias("base"), milli.alias("milli")))
     return read.withColumn(out, amount).drop("_plain", "_out", "_t", "_g", "_u1", "_u2")
 
 
 def rounded_milli(milli: Column) -> Column:
     """Whole thousandths, halves up."""
-    return F.floor(milli + F.lit("0.5").cast("decimal(3,1)")).cast("bigint")
+    return F.floor(milli + F.lit("0.5").cast("decimal(3,1)")).try_cast("bigint")

@@ -38,12 +38,12 @@ def stated_amounts(df: DataFrame, key: str, text: str, value: str, unit: str, te
     kind = F.nullif(F.regexp_extract(F.lower(F.col(name)), r"\p{L}+", 0), F.lit("")) if name else F.lit(None).cast("string")
     own = df.select(F.col(key), kind.alias("_kind"), F.col(text).alias("_text"), F.col(value).cast("string").alias("_value"), units.unit_of(F.col(unit)).alias("_own"))
     read = units.with_amount(own, "_text", "_in_text")
-    bare = units.number(units.plain_text(F.col("_text"))) if text_first else F.lit(None).cast("decimal(12,4)")
+    bare = units.number(units.plain_text(F.col("_text"))) if text_first else F.lit(None).cast("decimal(14,6)")
     read = read.withColumn("_bare", bare).withColumn("_number", units.number(F.col("_value")))
     one = F.lit("1").cast("decimal(7,2)")
 
     def pair(v: str):
-        milli = (F.col(v) * F.col("_own.factor") * one).cast(units.MILLI)
+        milli = (F.col(v) * F.col("_own.factor") * one).try_cast(units.MILLI)
         return F.when((milli > 0) & F.col("_own").isNotNull(), F.struct(F.col("_own.base").alias("base"), milli.alias("milli"), F.lit("pair").alias("place")))
 
     in_text = F.when(F.col("_in_text").isNotNull(), F.struct(F.col("_in_text.base").alias("base"), F.col("_in_text.milli").alias("milli"), F.lit("text").alias("place")))
@@ -136,7 +136,7 @@ def infer_units(amounts: DataFrame) -> DataFrame:
     return found.select(
         *[c for c in amounts.columns if c not in ("base_unit", "amount_milli", "stated_in")],
         F.when(inferred, best["base_unit"]).otherwise(F.col("base_unit")).alias("base_unit"),
-        F.when(inferred, F.floor(F.col("bare") * best["f"] + 0.5).cast("bigint")).otherwise(F.col("amount_milli")).alias("amount_milli"),
+        F.when(inferred, F.floor(F.col("bare") * best["f"] + 0.5).try_cast("bigint")).otherwise(F.col("amount_milli")).alias("amount_milli"),
         F.when(inferred, "inferred").otherwise(F.col("stated_in")).alias("stated_in"),
         F.when(inferred, best["p"] / total).when(F.col("amount_milli").isNotNull(), 1.0).alias("confidence"),
         F.when(inferred, best["p"] / total < CERTAIN).otherwise(F.col("amount_milli").isNull()).alias("uncertain"),

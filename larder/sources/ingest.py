@@ -57,16 +57,16 @@ def prepare(records: DataFrame, *kept: str) -> DataFrame:
     name = F.coalesce(*[T.filled(F.col(c)) for c in ("product_name_ru", "product_name", "generic_name")])
     amount = F.lower(F.regexp_replace("quantity", f"{BLANK}+", " "))
     pattern = r"([0-9]+(?:[.,][0-9]+)?) ?(кг|мл|гр|г|л|kg|ml|cl|g|l)(?![\p{L}])"
-    number = F.nullif(F.replace(F.regexp_extract(amount, pattern, 1), F.lit(","), F.lit(".")), F.lit("")).cast("decimal(12,3)")
+    number = F.nullif(F.replace(F.regexp_extract(amount, pattern, 1), F.lit(","), F.lit(".")), F.lit("")).try_cast("decimal(12,3)")
     spelled = F.nullif(F.regexp_extract(amount, pattern, 2), F.lit(""))
-    given = F.when(F.replace("product_quantity", F.lit(","), F.lit(".")).rlike(r"^[0-9]+(?:\.[0-9]+)?$"), F.replace("product_quantity", F.lit(","), F.lit("."))).cast("decimal(12,3)")
+    given = F.when(F.replace("product_quantity", F.lit(","), F.lit(".")).rlike(r"^[0-9]+(?:\.[0-9]+)?$"), F.replace("product_quantity", F.lit(","), F.lit("."))).try_cast("decimal(12,3)")
     structured = (given > 0) & T.filled(F.col("product_quantity_unit")).isNotNull()
     cl = spelled == "cl"
     code = F.trim("code")
     out = records.select(
         *kept, code.alias("barcode"), F.substring(name, 1, 255).alias("name"), F.substring(F.coalesce(first_item(F.col("brands")), F.lit(DEFAULT_BRAND)), 1, 128).alias("brand_name"),
         F.substring(F.coalesce(last_item(F.col("categories")), F.lit(DEFAULT_CATEGORY)), 1, 128).alias("category_name"),
-        F.when(structured, given).otherwise(F.when(cl, number * 10).otherwise(number)).cast("decimal(12,3)").alias("package_value"),
+        F.when(structured, given).otherwise(F.when(cl, number * 10).otherwise(number)).try_cast("decimal(12,3)").alias("package_value"),
         F.when(structured, package_unit(F.col("product_quantity_unit"))).otherwise(package_unit(spelled)).alias("package_unit"),
         F.when(F.col("image_front_url").rlike("^https?://"), F.substring("image_front_url", 1, 2000)).alias("image_url"),
     )

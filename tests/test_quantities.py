@@ -14,7 +14,7 @@ CASES = [
     ("1 ½ л", "мл", 1_500_000), ("900мг", "г", 900), ("по 0.1 кг, 3 шт.", "г", 300_000), ("2 pcs of 9,9 kg", "г", 19_800_000), ("1 500 г", "г", 1_500_000), ("150gram / 3,2 %", "г", 150_000),
     ("600 gram (арт. 20417)", "г", 600_000), ("(1 упаковка) 6 шт", "шт", 6_000), ("дюжина", "шт", 12_000), ("два десятка", "шт", 20_000), ("пол-литра", "мл", 500_000), ("полкило", "г", 500_000),
     ("Творог 9% 7,5 вёрст 500 г", "г", 500_000), ("2lb", "г", 907_185), ("50 lb", "г", 22_679_619), ("800 G х 6 шт", "г", 4_800_000), ("Йогурт (500 г)", "г", 500_000), ("10 шт, 18+", "шт", 10_000),
-    ("500", None, None), ("на развес", None, None), ("0 г", None, None), ("15%", None, None), ("", None, None), (None, None, None), ("2 года", None, None),
+    ("500", None, None), ("на развес", None, None), ("0 г", None, None), ("15%", None, None), ("", None, None), (None, None, None), ("2 года", None, None), ("4.73176 л", "мл", 4_731_760), ("0.00045 кг", "г", 450), ("１２３ г", "г", 123_000), ("150000 x 2 г", None, None), ("9" * 30 + " кг", None, None), ("слово " * 20000 + "5 г", "г", 5_000), ("1500000 мг", "г", 1_500_000),
 ]
 
 
