@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 LANGUAGES = ["ru", "uk", "be", "kk", "en", "de", "fr", "es", "it", "pl"]
 #: Labelled rows the scores are fitted on, about, chosen by a hash of the key; more do not change them noticeably.
 FIT_ROWS = 20_000
+#: Characters of a text that the scores may be fitted on; longer texts are labelled like all others but not fitted on.
+FIT_CHARS = 20_000
 #: Most words of the model; rarer ones are scored by their letter sequences.
 MODEL_WORDS = 100_000
 #: Cost of a change of language inside a sentence and where one begins; words a borrowed phrase may have.
@@ -278,7 +280,7 @@ def fit_model(documents: DataFrame, key: str, text: str, label: str, rows: int =
     names = F.array(*[F.lit(n) for n in sorted(_NAMED)])
     code = F.lower(F.trim(F.col(label)))
     named = documents.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).alias("l")).filter(F.array_contains(names, code) | F.array_contains(names, F.split(code, "[-_]")[0]))
-    labelled = named.filter("t is not null")
+    labelled = named.filter(F.col("t").isNotNull() & (F.length("t") <= FIT_CHARS))
     n = labelled.count()
     buckets = 1 << 20
     share = buckets if n <= rows else int(buckets * rows / n)

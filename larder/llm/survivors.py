@@ -32,7 +32,7 @@ def _readable(v: Column) -> Column:
 
 
 def _ean13(v: Column) -> Column:
-    digit = lambda k: F.substring(v, k, 1).cast("int")
+    digit = lambda k: F.substring(v, k, 1).try_cast("int")
     total = sum((digit(k) * (3 if k % 2 == 0 else 1) for k in range(2, 14)), digit(1))
     return F.coalesce(v.rlike(r"^[0-9]{13}$") & ~v.rlike(r"^(.)\1*$") & (total % 10 == 0), F.lit(False))
 
