@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +38,37 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def write_shared(spark: SparkSession, name: str, data: bytes) -> str:
+    """Write a small file to the shared folder; returns its full address."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/{name}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    stream = fs.create(path, True)
+    for i in range(0, len(data), 1 << 20):
+        stream.write(bytearray(data[i : i + (1 << 20)]))
+    stream.close()
+    return fs.makeQualified(path).toString()
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers: once a context, unless their path has it already."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    root, context = os.path.dirname(package), spark.sparkContext
+    if context.applicationId in _SHIPPED or root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or (context.master.startswith("local[") and os.getcwd() == root):
+        return
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as archive:
+        for folder, _, files in sorted(os.walk(package)):
+            for file in sorted(files):
+                if file.endswith(".py"):
+                    full = os.path.join(folder, file)
+                    archive.write(full, os.path.relpath(full, root))
+    context.addPyFile(write_shared(spark, f"larder-code-{uuid.uuid4().hex[:12]}.zip", buffer.getvalue()))
+    _SHIPPED.add(context.applicationId)
+
+
 class Scratch:
     """Tables written to the shared folder, each read back with its lineage cut.
 
