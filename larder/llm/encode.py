@@ -22,7 +22,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.runtime import shared_dir
+from larder.runtime import write_shared
 
 #: Folder of the tokenizer files, and the most words the lexicon holds; other words are merged exactly.
 TOKENIZERS, LEXICON_WORDS = "/opt/tokenizers", 50_000
@@ -253,15 +253,7 @@ def publish(spark: SparkSession, flat: np.ndarray) -> str:
     name = f"lexicon-{uuid.uuid4().hex}.npy"
     buffer = io.BytesIO()
     np.save(buffer, flat)
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/{name}")
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    stream = fs.create(path, True)
-    data = buffer.getvalue()
-    for i in range(0, len(data), 1 << 20):
-        stream.write(bytearray(data[i : i + (1 << 20)]))
-    stream.close()
-    spark.sparkContext.addFile(fs.makeQualified(path).toString())
+    spark.sparkContext.addFile(write_shared(spark, name, buffer.getvalue()))
     return name
 
 

@@ -26,6 +26,8 @@ FIT_CHARS = 20_000
 MODEL_WORDS = 100_000
 #: Cost of a change of language inside a sentence and where one begins; words a borrowed phrase may have.
 SWITCH, SWITCH_AT_SENTENCE, BORROWED = 9.0, 4.0, 3
+#: Credit a word for the language of the text as a whole: decides sentences of shared words and names only.
+CONTEXT = 0.3
 #: Share of a sentence's words that is most of it, and words of a run that counts within a longer sentence (unpunctuated text).
 MOST, LONG_RUN = 0.6, 8
 #: Least log score of a language for a known word, and for a word known by its letters only.
@@ -234,7 +236,9 @@ def label_text(model: Model, text: str | None) -> list[tuple[str, int, int, int,
     begins, piece = np.array([w[3] for w in words]), np.array([w[4] for w in words])
     # where every word agrees, the path needs no search
     total = scores.sum(0)
-    path = viterbi(scores, np.where(begins, SWITCH_AT_SENTENCE, SWITCH)) if (scores.argmax(1) != total.argmax()).any() else np.full(len(words), int(total.argmax()))
+    near = scores.copy()
+    near[:, int(total.argmax())] += CONTEXT
+    path = viterbi(near, np.where(begins, SWITCH_AT_SENTENCE, SWITCH)) if (scores.argmax(1) != total.argmax()).any() else np.full(len(words), int(total.argmax()))
     path[path >= len(LANGUAGES)] = _OWN[path[path >= len(LANGUAGES)] - len(LANGUAGES)]
     cuts = [0, *(np.flatnonzero(path[1:] != path[:-1]) + 1).tolist(), len(words)]
     runs = [[int(path[a]), a, b] for a, b in zip(cuts, cuts[1:], strict=False)]
