@@ -122,4 +122,10 @@ QUERIES = {
     "p3_found": p3_found, "p3_misses": p3_misses, "p4_found": p4_found, "p5_found": p5_found, "p5_percentiles": p5_percentiles, "p5_daily_digests": p5_daily_digests, "p6_found": p6_found, "p6_recall": p6_recall, "p7_found": p7_found,
     "p8_ids": p8_ids, "p9_packed": p9_packed, "p9_fill": p9_fill, "p10_found": p10_found, "p10_segments": p10_segments,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p5_found": """with v as (select distinct product_id, retailer_name, region, price, observed_at from price_observations where price > 0 and region is not null and retailer_name is not null)
+    select retailer_name, region from v group by retailer_name, region having count(*) >= 40 and quantile_cont(cast(price as double), 0.95) >= 5 * quantile_cont(cast(price as double), 0.5)""",
+    "p7_found": """with recursive e as (select left_id as a, right_id as b from duplicate_candidates where left_id is not null and right_id is not null
+      union select right_id, left_id from duplicate_candidates where left_id is not null and right_id is not null),
+    r(n, m) as (select a, a from e union select r.n, e.b from r join e on r.m = e.a) select n as product_id, min(m) as group_id from r group by n""",
+}
