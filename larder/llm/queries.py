@@ -42,20 +42,21 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _prices(spark: SparkSession, folder: str) -> DataFrame:
-    """Valid observations, each once, as (retailer_name, region, price): written to the shared folder, as they are read twice."""
+    """Valid observations, each once, as (retailer_name, region, price), null keys included: written to the shared folder, as they are read twice."""
     seen = table(spark, folder, "price_observations", "product_id", "retailer_name", "region", "price", "observed_at")
-    once = seen.filter("price > 0 and region is not null and retailer_name is not null").distinct()
+    once = seen.filter("price > 0").distinct()
     return Scratch(spark, "prices").save(once.select("retailer_name", "region", F.col("price").cast("double").alias("price")), "valid")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Retailer and region with at least 40 valid observations whose 95th percentile of price is at least five times the median."""
-    found = certified_percentiles(_prices(spark, folder), GROUP, "price", [0.5, 0.95])
+    named = _prices(spark, folder).filter("region is not null and retailer_name is not null")
+    found = certified_percentiles(named, GROUP, "price", [0.5, 0.95])
     return found.filter("n >= 40 and estimates[1] >= 5 * estimates[0]").select("retailer_name", "region")
 
 
 def p5_percentiles(spark: SparkSession, folder: str) -> DataFrame:
-    """Median, 90th, 95th and 99th percentile of price by retailer and region, each with its certified rank error."""
+    """Median, 90th, 95th and 99th percentile of price by retailer and region, null ones being groups too, each with its certified rank error."""
     found = certified_percentiles(_prices(spark, folder), GROUP, "price", SHARES)
     columns = [x for i, s in enumerate(("p50", "p90", "p95", "p99")) for x in (F.col("estimates")[i].alias(s), F.col("errors")[i].alias(f"{s}_error"))]
     return found.select(*GROUP, "n", *columns, "exact")
