@@ -62,15 +62,26 @@ def strict_search(queries: DataFrame, cat: DataFrame, limit: int = 20) -> DataFr
     return ranked.filter(F.col("rank") <= limit).select("query_id", "id", "rank")
 
 
+def _shared_trigrams(queries: DataFrame, texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(query_id, key, _qn, _tn, _s): trigrams of the query, of the text and shared ones of every pair that shares any."""
+    qt = queries.select("query_id", G.trigrams(F.col("query")).alias("_t")).withColumn("_qn", F.size("_t"))
+    tt = texts.select(key, G.trigrams(F.col(text)).alias("_t")).withColumn("_tn", F.size("_t"))
+    met = tt.select(key, "_tn", F.explode("_t").alias("g")).join(small_broadcast(qt.select("query_id", "_qn", F.explode("_t").alias("g"))), "g")
+    return met.groupBy("query_id", key, "_qn", "_tn").agg(F.count(F.lit(1)).alias("_s"))
+
+
+def trigram_candidates(queries: DataFrame, texts: DataFrame, key: str, text: str, least: float) -> DataFrame:
+    """(query_id, key) of every pair that can have a similarity or an extent of ``least``: both are at most the shared trigrams
+    as a share of the query's, however long the text is, so no such pair is left out."""
+    return _shared_trigrams(queries, texts, key, text).filter(F.col("_s") >= least * F.col("_qn") - 1e-9).select("query_id", key)
+
+
 def trigram_hits(queries: DataFrame, texts: DataFrame, key: str, text: str, least: float) -> DataFrame:
     """(query_id, key, similarity) of every pair with similarity of at least ``least``.
 
     Pairs meet on shared trigrams, counted by pair; the sizes of both sets then give the similarity, as a pair without shared
     trigram has similarity 0."""
-    qt = queries.select("query_id", G.trigrams(F.col("query")).alias("_t")).withColumn("_qn", F.size("_t"))
-    tt = texts.select(key, G.trigrams(F.col(text)).alias("_t")).withColumn("_tn", F.size("_t"))
-    met = tt.select(key, "_tn", F.explode("_t").alias("g")).join(small_broadcast(qt.select("query_id", "_qn", F.explode("_t").alias("g"))), "g")
-    shared = met.groupBy("query_id", key, "_qn", "_tn").agg(F.count(F.lit(1)).alias("_s"))
+    shared = _shared_trigrams(queries, texts, key, text)
     return shared.withColumn("similarity", F.col("_s") / (F.col("_qn") + F.col("_tn") - F.col("_s"))).filter(F.col("similarity") >= least).select("query_id", key, "similarity")
 
 

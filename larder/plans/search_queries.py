@@ -91,7 +91,7 @@ def suggestions_topk(spark: SparkSession, folder: str) -> DataFrame:
     forms = _asked(spark).select("query_id", F.posexplode(T.search_variants(F.col("query"))).alias("form", "v")).filter("length(v) >= 2")
     texts = table(spark, folder, "products", "id", "search_text", "is_active").filter("is_active and search_text is not null").select("id", "search_text")
     keyed = forms.select(F.struct("query_id", "form").alias("query_id"), F.col("v").alias("query"))
-    near = Q.trigram_hits(keyed, texts, "id", "search_text", 0.05).select("query_id", "id")
+    near = Q.trigram_candidates(keyed, texts, "id", "search_text", Q.SUGGEST_LEAST)
     met = near.join(F.broadcast(keyed), "query_id").join(texts, "id").select("query_id.*", "id", F.greatest(G.similarity(F.col("query"), F.col("search_text")), G.word_similarity(F.col("query"), F.col("search_text"))).alias("score"))
     first = met.filter(F.col("score") >= Q.SUGGEST_LEAST).withColumn("_k", F.row_number().over(Window.partitionBy("query_id", "id").orderBy("form"))).filter("_k = 1")
     return first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).filter("rank <= 10").select("query_id", "id", "score", "rank")
