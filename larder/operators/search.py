@@ -17,10 +17,13 @@ from larder.runtime import bounded, small_broadcast
 #: Queries of one call: the set is held against all rows, so it is passed in blocks of at most this many.
 MAX_QUERIES = 10_000
 #: Weights of the fields a fuzzy hit is scored on.
-FUZZY_WEIGHTS = {"combined": 1.55, "search_text": 1.50, "name": 1.40, "brand": 1.30, "subtype": 0.55}
+FUZZY_WEIGHTS = {"combined": 1.55, "search_text": 1.50, "name": 1.40, "brand": 1.30, "aliases": 1.15, "keywords": 0.60, "subtype": 0.55}
 PREFIX_BONUS = {"combined": 0.45, "name": 0.40, "brand": 0.35}
-#: Least similarity of a fuzzy hit and of a suggestion.
-FUZZY_LEAST, SUGGEST_LEAST = 0.40, 0.30
+#: A fuzzy hit has in one field at least this extent, or in one of the fields ``FUZZY_WHOLE`` at least the whole similarity ``WHOLE_LEAST``.
+FUZZY_EXTENT = {"combined": 0.42, "search_text": 0.40, "name": 0.45, "brand": 0.45, "aliases": 0.50, "keywords": 0.55}
+FUZZY_WHOLE, WHOLE_LEAST = ["name", "brand", "search_text", "aliases", "keywords", "subtype"], 0.30
+#: Least extent of a suggestion.
+SUGGEST_LEAST = 0.30
 
 
 def catalogue(products: DataFrame, brands: DataFrame) -> DataFrame:
@@ -89,14 +92,16 @@ def fuzzy_search(queries: DataFrame, cat: DataFrame, limit: int = 20) -> DataFra
     """(query_id, id, score, rank): listings by weighted trigram and extent similarity of their fields with a prefix bonus."""
     q = queries.select("query_id", T.normalize_text(F.col("query")).alias("query")).filter("length(query) >= 3")
     texts = cat.withColumn("_combined", F.concat_ws(" ", "n_brand", "n_name"))
-    near = trigram_hits(q, texts.select("id", F.concat_ws(" ", "_combined", "n_search").alias("_any")), "id", "_any", 0.05)
-    met = near.select("query_id", "id").join(small_broadcast(q), "query_id").join(texts, "id")
-    fields = {"combined": "_combined", "search_text": "n_search", "name": "n_name", "brand": "n_brand", "subtype": "n_subtype"}
-    sim = {f: F.greatest(G.similarity(F.col("query"), F.col(c)), G.word_similarity(F.col("query"), F.col(c))) for f, c in fields.items()}
-    scored = met.select("query_id", "id", "query", "name", "brand", "barcode", "image_url", "package_value", "package_unit", *[v.alias(f"s_{f}") for f, v in sim.items()], *[c for c in set(fields.values())])
-    best = F.greatest(*[F.col(f"s_{f}") * w for f, w in FUZZY_WEIGHTS.items()])
+    fields = {"combined": "_combined", "search_text": "n_search", "name": "n_name", "brand": "n_brand", "aliases": "n_aliases", "keywords": "n_keywords", "subtype": "n_subtype"}
+    near = trigram_candidates(q, texts.select("id", F.concat_ws(" ", *fields.values()).alias("_any")), "id", "_any", min(WHOLE_LEAST, *FUZZY_EXTENT.values()))
+    met = near.join(small_broadcast(q), "query_id").join(texts, "id")
+    whole = [G.similarity(F.col("query"), F.col(c)).alias(f"w_{f}") for f, c in fields.items()]
+    extent = [G.word_similarity(F.col("query"), F.col(c)).alias(f"e_{f}") for f, c in fields.items()]
+    scored = met.select("query_id", "id", "query", "name", "brand", "barcode", "image_url", "package_value", "package_unit", *whole, *extent, *fields.values())
+    best = F.greatest(*[F.greatest(F.col(f"w_{f}"), F.col(f"e_{f}")) * w for f, w in FUZZY_WEIGHTS.items()])
     bonus = F.greatest(*[F.when(F.col(fields[f]).startswith(F.col("query")), b).otherwise(0.0) for f, b in PREFIX_BONUS.items()])
-    kept = scored.filter(F.greatest(*[F.col(f"s_{f}") for f in fields]) >= FUZZY_LEAST).withColumn("score", best + bonus)
+    alike = F.greatest(*[(F.col(f"e_{f}") >= least).cast("int") for f, least in FUZZY_EXTENT.items()], *[(F.col(f"w_{f}") >= WHOLE_LEAST).cast("int") for f in FUZZY_WHOLE]) == 1
+    kept = scored.filter(alike).withColumn("score", best + bonus)
     ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), *order_keys(F.col("query")))))
     return ranked.filter(F.col("rank") <= limit).select("query_id", "id", "score", "rank")
 
