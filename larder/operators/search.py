@@ -51,6 +51,11 @@ def strict_search(queries: DataFrame, cat: DataFrame, limit: int = 20) -> DataFr
 
     ``queries`` has query_id and query, at most ``MAX_QUERIES`` of them, held against all listings in one pass, as words may
     stand inside others. A one-word query equal to a listing's whole name puts that listing last."""
+    return _strict_ranked(queries, cat, limit).select("query_id", "id", "rank")
+
+
+def _strict_ranked(queries: DataFrame, cat: DataFrame, limit: int) -> DataFrame:
+    """The hits of ``strict_search`` with their n_brand."""
     q = queries.select("query_id", T.normalize_text(F.col("query")).alias("nq")).filter("nq <> ''").withColumn("words", F.split("nq", " "))
     if not bounded(q, MAX_QUERIES):
         raise ValueError(f"more than {MAX_QUERIES} queries; pass them in blocks")
@@ -62,7 +67,7 @@ def strict_search(queries: DataFrame, cat: DataFrame, limit: int = 20) -> DataFr
         .when(F.expr("forall(words, w -> contains(n_name, w))"), 4).when(F.expr("forall(words, w -> contains(concat_ws(' ', n_name, n_brand), w))"), 5).otherwise(6)
     )
     ranked = hit.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(plain.cast("int"), relevance, *order_keys(F.col("nq")))))
-    return ranked.filter(F.col("rank") <= limit).select("query_id", "id", "rank")
+    return ranked.filter(F.col("rank") <= limit).select("query_id", "id", "rank", "n_brand")
 
 
 def _shared_trigrams(queries: DataFrame, texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -116,6 +121,35 @@ def merge_stages(*stages: DataFrame, limit: int = 20) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("stage", "_r", "id"))).filter(F.col("rank") <= limit).select("query_id", "id", "stage", "rank")
 
 
+def combined_search(queries: DataFrame, cat: DataFrame, limit: int = 20) -> DataFrame:
+    """(query_id, id, stage, rank): hits of each query over all its forms (other keyboard layout, transliterations).
+
+    Stage 0: a query of digits that is a listing's code gives the listings of that code only. Stage 1: strict hits of each form
+    in order; if some are of a brand named just as the query, only these are given. Stage 2: fuzzy hits of each form in order.
+    A listing stands where it was first seen. Each form gives its best ``limit``, which suffices, as fewer were seen before."""
+    asked = queries.select("query_id", F.trim("query").alias("_raw"), T.normalize_text(F.col("query")).alias("_asked")).filter("_asked <> ''")
+    forms = queries.select("query_id", F.posexplode(T.search_variants(F.col("query"))).alias("variant", "query"))
+    keyed = forms.select(F.struct("query_id", "variant").alias("query_id"), "query")
+    code = lambda c: F.right(F.regexp_replace(c, "[^0-9]", ""), F.lit(13))
+    wanted = asked.filter(F.col("_raw").rlike("^[0-9]+$")).select("query_id", code("_raw").alias("_code"))
+    coded = cat.select("id", code("barcode").alias("_code")).join(small_broadcast(wanted), "_code")
+    none = F.lit(None).cast("string").alias("n_brand")
+    stages = [
+        coded.select("query_id", "id", F.lit(0).alias("stage"), F.lit(0).alias("variant"), F.row_number().over(Window.partitionBy("query_id").orderBy("id")).alias("_r"), none),
+        _strict_ranked(keyed, cat, limit).select("query_id.query_id", "id", F.lit(1).alias("stage"), "query_id.variant", F.col("rank").alias("_r"), "n_brand"),
+        fuzzy_search(keyed, cat, limit).select("query_id.query_id", "id", F.lit(2).alias("stage"), "query_id.variant", F.col("rank").alias("_r"), none),
+    ]
+    seen = stages[0].unionByName(stages[1]).unionByName(stages[2])
+    place = ["stage", "variant", "_r"]
+    first = seen.withColumn("_k", F.row_number().over(Window.partitionBy("query_id", "id").orderBy(*place))).filter("_k = 1")
+    of_query = Window.partitionBy("query_id")
+    ranked = first.withColumn("rank", F.row_number().over(of_query.orderBy(*place))).filter(F.col("rank") <= limit)
+    told = ranked.join(small_broadcast(asked.select("query_id", "_asked")), "query_id").withColumn("_brand", (F.col("stage") == 1) & (F.col("n_brand") == F.col("_asked")))
+    flagged = told.withColumn("_coded", F.min("stage").over(of_query) == 0).withColumn("_exact", F.max(F.coalesce("_brand", F.lit(False))).over(of_query))
+    kept = flagged.filter(F.when(F.col("_coded"), F.col("stage") == 0).when(F.col("_exact"), F.col("_brand")).otherwise(True))
+    return kept.select("query_id", "id", "stage", F.row_number().over(of_query.orderBy("rank")).alias("rank"))
+
+
 def page(ranked: DataFrame, number: int, size: int = 10) -> DataFrame:
     """Rows of one page of ranked hits, pages from 0."""
     return ranked.filter(F.col("rank").between(number * size + 1, (number + 1) * size))

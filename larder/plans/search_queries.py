@@ -80,9 +80,8 @@ def fuzzy_search_batch(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def combined_search_batch(spark: SparkSession, folder: str) -> DataFrame:
-    """Strict hits, then fuzzy ones, each listing where it was first seen (2.2.9, 2.6.1)."""
-    cat, asked = _catalogue(spark, folder), _asked(spark)
-    return Q.merge_stages(Q.strict_search(asked, cat), Q.fuzzy_search(asked, cat))
+    """Hits by code, else strict, then fuzzy ones of every form of a query, each listing where it was first seen (2.2.9, 2.6.1)."""
+    return Q.combined_search(_asked(spark), _catalogue(spark, folder))
 
 
 @query()
