@@ -121,14 +121,14 @@ def weighted_distance(a: str, b: str) -> tuple[float, int]:
 
 
 class Dictionary:
-    """Symmetric-delete dictionary of one block of the reference."""
+    """Symmetric-delete dictionary of one block of the reference; ``doubtful`` has abbreviations that other blocks make ambiguous."""
 
-    def __init__(self, names: list[tuple[int, str]], frequency: dict[int, int]):
+    def __init__(self, names: list[tuple[int, str]], frequency: dict[int, int], doubtful: frozenset[str] = frozenset()):
         self.exact: dict[str, set[int]] = defaultdict(set)
         for entry, name in names:
             for key in reference_keys(name):
                 self.exact[key].add(entry)
-        self.exact = {k: v for k, v in self.exact.items() if not (k.startswith(".") and len(v) > 1)}
+        self.exact = {k: v for k, v in self.exact.items() if not (k.startswith(".") and (len(v) > 1 or k in doubtful))}
         self.frequency = frequency
         self.longest = max((len(k) for k in self.exact), default=0)
         self.near: dict[str, list[str]] = defaultdict(list)
@@ -144,17 +144,21 @@ class Dictionary:
 
     def look_up(self, value: str | None) -> tuple[int, float]:
         """(entry, cost); entry 0 with cost infinite if nothing is near enough."""
+        return self.ranked(value)[:2]
+
+    def ranked(self, value: str | None) -> tuple[int, float, int]:
+        """(entry, cost, step): ``step`` is the place of the spelling that is met exactly, which ranks equal costs of several blocks."""
         if value is None or value.strip().lower() in NOTHING:
-            return 0, float("inf")
+            return 0, float("inf"), 0
         keys = spellings(value)
-        for key in keys:
+        for step, key in enumerate(keys):
             if key in self.exact:
-                return self._first(self.exact[key]), 0.0
+                return self._first(self.exact[key]), 0.0, step
         words = bare_name(value).replace(".", ". ").split() if len(value) <= 200 else []
         if len(words) == 2 and words[0].endswith(".") and len(compact(words[0])) >= 2:
             short = "." + compact("".join(_ALIKE.get(c, c) for c in words[0]))[:3] + compact("".join(_ALIKE.get(c, c) for c in words[1]))
             if short in self.exact:
-                return self._first(self.exact[short]), 0.1
+                return self._first(self.exact[short]), 0.1, 0
         best = (float("inf"), 0, 0)
         for step, key in enumerate(keys):
             edits = allowed(key)
@@ -170,7 +174,7 @@ class Dictionary:
                     if n <= min(edits, allowed(other)):
                         entry = self._first(self.exact[other])
                         best = min(best, (cost + 0.01 * step, -self.frequency.get(entry, 0), entry))
-        return best[2], best[0]
+        return best[2], best[0], 0
 
 
 def _mapper(blob, cache_size: int = 200_000):
@@ -180,8 +184,10 @@ def _mapper(blob, cache_size: int = 200_000):
         if not held:
             held.extend([Dictionary(*blob.value), {}])
         book, cache = held
+        often = book.frequency
         for batch in batches:
             found, costs = np.zeros(batch.num_rows, np.int64), np.full(batch.num_rows, np.inf)
+            steps, rare = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             column = batch.column(batch.schema.get_field_index("_val")).dictionary_encode()
             answers = []
             for value in column.dictionary.to_pylist():
@@ -189,15 +195,16 @@ def _mapper(blob, cache_size: int = 200_000):
                 if answer is None:
                     if len(cache) >= cache_size:
                         cache.clear()
-                    answer = cache[value] = book.look_up(value)
+                    answer = cache[value] = book.ranked(value)
                 answers.append(answer)
             index = column.indices.to_numpy(zero_copy_only=False)
             good = ~np.isnan(index.astype(float))
             if answers:
                 at = index[good].astype(int)
                 found[good], costs[good] = np.array([a[0] for a in answers])[at], np.array([a[1] for a in answers])[at]
+                steps[good], rare[good] = np.array([a[2] for a in answers])[at], np.array([-often.get(a[0], 0) for a in answers])[at]
             arrays = [batch.column(i) for i in range(batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(found), pa.array(costs)], names=[*batch.schema.names, "_entry", "_cost"])
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(found), pa.array(costs), pa.array(steps), pa.array(rare)], names=[*batch.schema.names, "_entry", "_cost", "_step", "_rare"])
 
     return run
 
@@ -214,21 +221,30 @@ def map_values(values: DataFrame, value: str, reference: DataFrame, entry: str,
     listed = reference.select(F.col(entry).cast("bigint").alias("e"), F.explode(F.concat(F.array(F.col(name)), F.coalesce(split_by(F.col(aliases), ALIAS_SIGNS), F.array().cast("array<string>")))).alias("n")).filter("n is not null").distinct().orderBy("e", "n")
     work = kept.withColumn("_val", F.col(value)).withColumn("_row", F.monotonically_increasing_id())
     work = Scratch(spark, "canonical").save(work, "values")
-    schema = ", ".join(f"`{c}` {t}" for c, t in [*work.dtypes, ("_entry", "bigint"), ("_cost", "double")])
+    schema = ", ".join(f"`{c}` {t}" for c, t in [*work.dtypes, ("_entry", "bigint"), ("_cost", "double"), ("_step", "bigint"), ("_rare", "bigint")])
     total = listed.count()
     blocks = [[(r["e"], r["n"]) for r in listed.offset(at).limit(BLOCK_ENTRIES).collect()] for at in range(0, total, BLOCK_ENTRIES)] if total else [[]]
-    exact = {n: 0 for n in ()}
+    exact: dict[int, int] = defaultdict(int)
+    counted_names: set[str] = set()
+    short: dict[str, int] = {}
+    doubtful: set[str] = set()
     for block in blocks:
-        blob = spark.sparkContext.broadcast((block, {}))
+        # a name counts for the first entry that has it, in whichever block
+        fresh = [(e, n) for e, n in block if compact(n) not in counted_names]
+        counted_names.update(compact(n) for _, n in block)
+        for e, n in block if len(blocks) > 1 else ():
+            doubtful.update(k for k in reference_keys(n) if k.startswith(".") and short.setdefault(k, e) != e)
+        blob = spark.sparkContext.broadcast((fresh, {}))
         counted = work.select("_val").mapInArrow(_exact_counter(blob), "e bigint, n bigint").groupBy("e").agg(F.sum("n").alias("n"))
-        exact.update({r["e"]: r["n"] for r in counted.collect()})  # at most one row per entry of the block
-    parts = [work.mapInArrow(_mapper(spark.sparkContext.broadcast((block, {e: exact[e] for e, _ in block if e in exact}))), schema) for block in blocks]
+        for r in counted.collect():  # at most one row per entry of the block
+            exact[r["e"]] += r["n"]
+    parts = [work.mapInArrow(_mapper(spark.sparkContext.broadcast((block, {e: exact[e] for e, _ in block if e in exact}, frozenset(doubtful)))), schema) for block in blocks]
     found = parts[0]
     if len(parts) > 1:
         for p in parts[1:]:
             found = found.unionByName(p)
         rest = [c for c in found.columns if c != "_row"]
-        best = found.groupBy("_row").agg(F.min_by(F.struct(*rest), F.struct("_cost", "_entry")).alias("_b"))
+        best = found.groupBy("_row").agg(F.min_by(F.struct(*rest), F.struct("_cost", "_step", "_rare", "_entry")).alias("_b"))
         found = best.select("_row", "_b.*")
     return found.select(*kept.columns, F.col("_entry").alias(out), F.when(F.col("_cost") < 1e9, F.col("_cost")).alias(f"{out}_cost"))
 
