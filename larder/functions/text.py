@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,7 +22,10 @@ LATIN_KEYS, RUSSIAN_KEYS = "`qwertyuiop[]asdfghjkl;'zxcvbnm,.", "ёйцукен
 QUERY_UNITS = ["г", "гр", "грамм", "кг", "мл", "л", "литр", "шт", "g", "kg", "ml", "l"]
 STOP_WORDS = ["и", "в", "на", "с", "со", "для", "без", "из", "по", "от", "до"]
 #: Names that stand for an unknown brand.
-UNKNOWN_BRANDS = ["", "-", "без бренда", "неизвестно", "не указан", "unknown", "no brand"]
+UNKNOWN_BRANDS = ["", "бренд не указан", "не указан", "unknown", "no brand", "без бренда"]
+
+# named entities and, as the standard reads them, the numbers 128 to 159 as the letters of a Windows code page
+_ENTITIES = "".join(f"\u0001{k}\u0002{v}" for k, v in (html5 | {f"#{n}": bytes([n]).decode("cp1252", "replace") for n in range(128, 160)}).items()) + "\u0001"
 
 
 def squeeze(col: Column) -> Column:
@@ -105,9 +110,23 @@ def unicode_words(col: Column) -> Column:
 
 
 def unescape(col: Column) -> Column:
-    """The named and numeric entities that catalogue texts hold, resolved; the ampersand last."""
-    named = {"&quot;": '"', "&laquo;": "«", "&raquo;": "»", "&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&#39;": "'", "&apos;": "'", "&mdash;": "—", "&ndash;": "–", "&amp;": "&"}
-    return _chain(col, named.items())
+    """Named entities (the table of the HTML standard, also without the final sign where that allows it) and numeric ones
+    resolved in one pass; what is no entity stays. Texts without an ampersand are not touched."""
+    entity = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);?|[^&]+|&"
+    # one text of all entities: plans compare a text far faster than a map of the same entries
+    table, key = F.lit(_ENTITIES), lambda name: F.concat(F.lit("\u0001"), name, F.lit("\u0002"))
+    told = lambda name: F.when(F.contains(table, key(name)), F.substring_index(F.substr(table, F.position(key(name), table) + F.length(key(name))), "\u0001", 1))
+    point = lambda v: F.decode(F.unhex(F.lpad(F.hex(F.when((v == 0) | (v > 0x10FFFF) | v.between(0xD800, 0xDFFF), 0xFFFD).otherwise(v)), 8, "0")), "UTF-32")
+    letter = lambda v: F.coalesce(told(F.concat(F.lit("#"), v)), point(v))
+    digits = lambda p: F.regexp_extract(p, "^&#[xX]?([0-9A-Fa-f]+)", 1)
+    code = lambda p: F.when(p.rlike("^&#[xX]"), F.conv(digits(p), 16, 10).cast("bigint")).when(p.rlike("^&#"), digits(p).cast("bigint"))
+    read = lambda p: F.when(~p.startswith("&"), p).when(p.startswith("&#"), F.coalesce(letter(code(p)), p)).otherwise(F.coalesce(told(F.substring(p, 2, 64)), p))
+    return F.when(F.contains(col, F.lit("&")), F.array_join(F.transform(F.regexp_extract_all(col, F.lit(entity), F.lit(0)), read), "")).otherwise(col)
+
+
+def comparable(col: Column) -> Column:
+    """Entities resolved, single blanks, lower case, ё as е: the form in which markers of a name are looked for."""
+    return F.translate(F.lower(squeeze(unescape(squeeze(col)))), "ё", "е")
 
 
 def decimal_text(col: Column) -> Column:
@@ -117,7 +136,7 @@ def decimal_text(col: Column) -> Column:
 
 
 def is_unknown_brand(col: Column) -> Column:
-    return F.coalesce(F.lower(squeeze(col)), F.lit("")).isin(*UNKNOWN_BRANDS)
+    return F.coalesce(normalize_text(col), F.lit("")).isin(*UNKNOWN_BRANDS)
 
 
 def from_tag(col: Column) -> Column:

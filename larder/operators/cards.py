@@ -35,22 +35,118 @@ def relevance(query: Column, text: Column, image: Column, brand: Column, name: C
     return F.when(F.size(asked) == 0, 0.0).otherwise(F.least(points + whole + bonus(T.filled(image).isNotNull(), IMAGE) + bonus(T.filled(brand).isNotNull(), BRAND) + bonus(T.filled(name).isNotNull(), NAME), F.lit(1.0)))
 
 
-def card_gaps(cards: DataFrame) -> DataFrame:
-    """(id, missing, weak): fields a card lacks and fields that are there but say little, each sorted as listed here.
+#: Parts of an address that show a placeholder.
+PLACEHOLDERS = ["placeholder", "no-image", "no_image", "default-product", "default_product", "image-not-found", "image_not_found", "stub"]
+#: Names that are no more than a kind of goods on a card, and the order in which a card's fields are to be filled.
+PLAIN_NAMES = [n for n in I.GENERIC_NAMES if n not in ("пельмени", "вареники")]
+PRIORITY = ["brand", "name", "package", "category", "image_url", "barcode", "description", "subtype", "keywords"]
+#: Greatest difference of the packages of a card and of a candidate to fill it, as a share of the larger.
+TARGET_TOLERANCE = "0.005"
 
-    ``cards`` has id, name, brand, package_value, package_unit, image_url, barcode, subtype, keywords."""
-    empty = lambda c: T.filled(F.col(c)).isNull()
-    value, unit = F.coalesce(F.col("package_value") > 0, F.lit(False)), ~empty("package_unit")
-    tag = lambda test, name: F.when(test, F.lit(name))
-    missing = [tag(empty("name"), "name"), tag(empty("brand"), "brand"), tag(~value & ~unit, "package"), tag(empty("image_url"), "image"), tag(T.digits_code(F.coalesce("barcode", F.lit(""))).isNull(), "barcode"), tag(empty("subtype"), "subtype"), tag(empty("keywords"), "keywords")]
-    weak = [tag(~empty("name") & T.normalize_text(F.col("name")).isin(*I.GENERIC_NAMES), "name"), tag(~empty("brand") & T.is_unknown_brand(F.col("brand")), "brand"), tag(value != unit, "package"), tag(~empty("image_url") & (I.image_quality(F.col("image_url")) <= 10), "image")]
-    return cards.select("id", F.array_compact(F.array(*missing)).alias("missing"), F.array_compact(F.array(*weak)).alias("weak"))
+
+def _folded(col: Column) -> Column:
+    """Single blanks, lower case, ё as е; signs stay. Empty for null."""
+    return F.translate(F.lower(F.coalesce(T.squeeze(col), F.lit(""))), "ё", "е")
+
+
+def is_specific_name(col: Column) -> Column:
+    """Two words or twelve letters, and more than a kind of goods."""
+    name = _folded(col)
+    words = F.size(F.regexp_extract_all(name, F.lit("[a-zа-я0-9]+"), F.lit(0)))
+    return (name != "") & ~name.isin(*PLAIN_NAMES) & ((words >= 2) | (F.length(name) >= 12))
+
+
+def card_image_points(col: Column, valid: Column | None = None) -> Column:
+    """0 none, 10 a placeholder, 40 a web address not looked at, 100 a valid and 0 an invalid one, 90 another identifier."""
+    image, checked = _folded(col), valid if valid is not None else F.lit(None).cast("boolean")
+    web = T.squeeze(col).rlike("^https?://")
+    placeholder = F.exists(F.array(*[F.lit(m) for m in PLACEHOLDERS]), lambda m: F.contains(image, m))
+    return F.when(image == "", 0.0).when(placeholder, 10.0).when(web & checked, 100.0).when(web & ~checked, 0.0).when(web, 40.0).otherwise(90.0)
+
+
+def card_description_points(col: Column) -> Column:
+    n = F.coalesce(F.length(T.squeeze(col)), F.lit(0))
+    return F.when(n == 0, 0.0).when(n < 20, 25.0).when(n < 60, 55.0).when(n < 140, 80.0).otherwise(100.0)
+
+
+def evaluate_cards(cards: DataFrame) -> DataFrame:
+    """(id, score, identity, presentation, missing, weak, critical, next, unchecked, complete): how complete each card is.
+
+    ``cards`` has id, name, brand, category, barcode, package_value, package_unit, image_url, description, subtype, keywords and
+    may have image_valid. ``missing`` fields are empty, ``weak`` ones there but say little, ``critical`` those of both that a
+    card cannot do without, ``next`` all of both in the order in which to fill them."""
+    filled = lambda c: T.filled(F.col(c)).isNotNull()
+    staged = cards.withColumns({
+        "_value": F.coalesce(F.col("package_value") > 0, F.lit(False)), "_unit": filled("package_unit"), "_specific": is_specific_name(F.col("name")), "_code": T.digits_code(F.col("barcode")).isNotNull(),
+        "_real": filled("brand") & ~_folded(F.col("brand")).isin(*T.UNKNOWN_BRANDS), "_cat": filled("category") & ~_folded(F.col("category")).isin(*I.GENERIC_CATEGORIES),
+        "_image": card_image_points(F.col("image_url"), F.col("image_valid") if "image_valid" in cards.columns else None), "_text": card_description_points(F.col("description")),
+    })
+    whole, some = F.col("_value") & F.col("_unit"), F.col("_value") | F.col("_unit")
+    image, text = F.col("_image"), F.col("_text")
+    # field: (is missing, is weak, points of a weak one, points of a good one)
+    fields = {
+        "name": (~filled("name"), filled("name") & ~F.col("_specific"), F.lit(6.0), F.lit(15.0)), "brand": (~filled("brand"), filled("brand") & ~F.col("_real"), F.lit(2.0), F.lit(12.0)),
+        "category": (~filled("category"), filled("category") & ~F.col("_cat"), F.lit(3.0), F.lit(10.0)), "package": (~some, some & ~whole, F.lit(5.0), F.lit(15.0)),
+        "image_url": (image <= 0, (image > 0) & (image < 50), F.lit(3.0), image * 0.15), "description": (text <= 0, (text > 0) & (text < 60), text * 0.12, text * 0.12),
+        "barcode": (~filled("barcode"), filled("barcode") & ~F.col("_code"), F.lit(2.0), F.lit(12.0)), "subtype": (~filled("subtype"), F.lit(False), F.lit(0.0), F.lit(4.0)), "keywords": (~filled("keywords"), F.lit(False), F.lit(0.0), F.lit(5.0)),
+    }
+    named = lambda at, keys: F.array_compact(F.array(*[F.when(at(fields[k]), F.lit(k)) for k in keys]))
+    score = sum((F.when(gone, 0.0).when(weak, low).otherwise(high) for gone, weak, low, high in fields.values()), F.lit(0.0))
+    points = lambda *pairs: sum((F.when(test, float(n)).otherwise(0.0) for test, n in pairs), F.lit(0.0))
+    identity = points((F.col("_code"), 45), (F.col("_real"), 20), (F.col("_specific"), 20), (whole, 15))
+    shown = points((F.col("_specific"), 20), (~F.col("_specific") & filled("name"), 8), (F.col("_real"), 15), (F.col("_cat"), 15), (whole, 15)) + image * 0.2 + text * 0.15
+    critical = ["name", "brand", "category", "package", "image_url"]
+    checked = F.col("image_valid").isNotNull() if "image_valid" in cards.columns else F.lit(False)
+    out = staged.select(
+        "id", F.bround(F.least(score, F.lit(100.0)), 1).alias("score"), F.bround(F.least(identity, F.lit(100.0)), 1).alias("identity"), F.bround(F.least(shown, F.lit(100.0)), 1).alias("presentation"),
+        named(lambda f: f[0], fields).alias("missing"), named(lambda f: f[1], fields).alias("weak"), named(lambda f: f[0] | f[1], critical).alias("critical"), named(lambda f: f[0] | f[1], PRIORITY).alias("next"),
+        (filled("image_url") & T.squeeze(F.col("image_url")).rlike("^https?://") & ~checked).alias("unchecked"),
+    )
+    whole_card = (F.size("critical") == 0) & ~F.col("unchecked") & (F.col("score") >= 85) & (F.col("identity") >= 55) & (F.col("presentation") >= 80)
+    return out.withColumn("complete", whole_card)
+
+
+def candidate_identity(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with ``accepted``, ``points`` and ``why``: whether a record may fill a card, by the first rule that holds.
+
+    A pair has name, brand, barcode, package_value, package_unit of the card, ``needed`` (its fields to fill), and the same with
+    ``new_`` of the record and new_image_url and new_description. Nulls are unknown: they never conflict, but what a card
+    states and a record does not confirm is not accepted."""
+    side = lambda c: (F.col(c), F.col(f"new_{c}"))
+    common, coverage, jaccard = I.overlap(*[I.name_tokens(c) for c in side("name")])
+    unit, new_unit = [I.package_unit(c) for c in side("package_unit")]
+    base, new_base = I.package_base(F.col("package_value"), unit), I.package_base(F.col("new_package_value"), new_unit)
+    near = F.abs(base - new_base) <= F.greatest(base, new_base) * F.lit(TARGET_TOLERANCE).cast("decimal(4,3)")
+    package = F.when(base.isNotNull() & new_base.isNotNull(), F.when(I.package_family(unit) != I.package_family(new_unit), False).otherwise(near))
+    code, new_code = [T.digits_code(c) for c in side("barcode")]
+    staged = pairs.withColumns({
+        "_common": common, "_coverage": coverage, "_jaccard": jaccard, "_package": package, "_same": F.coalesce(code == new_code, F.lit(False)), "_other": F.coalesce(code != new_code, F.lit(False)),
+        "_real": ~T.is_unknown_brand(F.col("brand")), "_new_real": ~T.is_unknown_brand(F.col("new_brand")), "_brands": T.normalize_text(F.col("brand")) == T.normalize_text(F.col("new_brand")),
+    })
+    has = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    gives = lambda field, n: F.when(F.array_contains("needed", field) & has(f"new_{field}"), float(n)).otherwise(0.0)
+    told = lambda ok, points, why: F.struct(F.lit(ok).alias("accepted"), points.alias("points"), F.lit(why).alias("why"))
+    no = lambda why: told(False, F.lit(0.0), why)
+    by_code = F.lit(100.0) + F.when(has("new_image_url"), 3.0).otherwise(0.0) + F.when(has("new_description"), 1.0).otherwise(0.0)
+    by_name = F.lit(55.0) + F.col("_coverage") * 20 + F.col("_jaccard") * 15 + F.when(F.coalesce("_package", F.lit(False)), 10.0).otherwise(0.0) + gives("image_url", 5) + gives("description", 2)
+    packed = F.col("package_value").isNotNull() & has("package_unit")
+    first = (
+        F.when(F.col("_other"), no("barcode_conflict"))
+        .when(F.col("_real") & F.col("_new_real") & ~F.col("_brands"), no("brand_conflict")).when(F.coalesce(~F.col("_package"), F.lit(False)), no("package_conflict"))
+        .when(F.col("_same") & (F.col("_common") <= 0) & (F.col("_coverage") < 0.5), no("barcode_name_mismatch")).when(F.col("_same"), told(True, by_code, "exact_barcode"))
+        .when(F.col("_real") & ~F.col("_new_real"), no("missing_external_brand")).when(~F.col("_real") & ~F.col("_new_real"), no("no_brand_evidence"))
+        .when(packed & ~F.coalesce("_package", F.lit(False)), no("package_not_confirmed")).when(F.col("_common") < 2, no("weak_name_common_tokens")).when(F.col("_coverage") < 0.8, no("weak_name_coverage"))
+        .when(F.col("_jaccard") < 0.55, no("weak_name_jaccard"))
+    )
+    out = staged.withColumn("_t", first.otherwise(told(True, by_name, "brand_name_package")))
+    return out.select(*pairs.columns, "_t.accepted", "_t.points", "_t.why")
 
 
 def enrichment_queries(cards: DataFrame) -> DataFrame:
-    """(id, pos, query): what to ask a provider for a card: brand, name and package, then without the package; each once."""
-    package = F.when(F.col("package_value") > 0, F.concat_ws(" ", I.canonical_number(F.col("package_value").cast("string")), T.filled(F.col("package_unit"))))
-    brand = F.when(~T.is_unknown_brand(F.col("brand")), T.filled(F.col("brand")))
-    named = F.when(F.contains(T.normalize_text(F.col("name")), T.normalize_text(brand)), T.filled(F.col("name"))).otherwise(F.concat_ws(" ", brand, T.filled(F.col("name"))))
-    asked = F.array_distinct(F.array_compact(F.array(F.when(package.isNotNull(), F.concat_ws(" ", named, package)), F.nullif(named, F.lit("")))))
-    return cards.filter(T.filled(F.col("name")).isNotNull()).select("id", F.posexplode(asked).alias("pos", "query"))
+    """(id, pos, query): what to ask a provider for a card: brand, name and package, then without the package; each once.
+
+    A card without brand and name asks nothing; a package counts if it has a number and a unit."""
+    base = F.nullif(F.concat_ws(" ", T.filled(F.col("brand")), T.filled(F.col("name"))), F.lit(""))
+    package = F.concat(I.canonical_number(F.col("package_value").cast("string")), F.lit(" "), T.filled(F.col("package_unit")))
+    asked = F.array_distinct(F.array_compact(F.array(F.concat(base, F.lit(" "), package), base)))
+    return cards.filter(base.isNotNull()).select("id", F.posexplode(asked).alias("pos", "query"))

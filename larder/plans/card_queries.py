@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.functions import identity as I
 from larder.functions import text as T
 from larder.operators import cards as C
+from larder.plans import identity_sql as Z
 from larder.plans import sqltext as S
 from larder.plans.search_queries import _ASKED_SQL, _asked
 from larder.runtime import small_broadcast, table
@@ -15,18 +15,34 @@ from larder.runtime import small_broadcast, table
 
 def _cards(spark: SparkSession, folder: str) -> DataFrame:
     brands = table(spark, folder, "brands", "id", "name").select(F.col("id").alias("brand_id"), F.col("name").alias("brand"))
-    columns = ["id", "name", "brand_id", "barcode", "package_value", "package_unit", "subtype", "image_url", "keywords"]
-    return table(spark, folder, "products", *columns).join(small_broadcast(brands), "brand_id", "left")
+    columns = ["id", "name", "brand_id", "category_id", "barcode", "package_value", "package_unit", "subtype", "image_url", "keywords"]
+    listed = table(spark, folder, "products", *columns).join(small_broadcast(brands), "brand_id", "left")
+    return listed.withColumn("category", F.concat(F.lit("категория "), F.col("category_id"))).withColumn("description", F.lit(None).cast("string"))
 
 
-def card_gaps(spark: SparkSession, folder: str) -> DataFrame:
-    """Missing and weak fields of each card (2.13.19, 2.13.27, 2.1.14)."""
-    return C.card_gaps(_cards(spark, folder)).select("id", F.array_join("missing", ",").alias("missing"), F.array_join("weak", ",").alias("weak"))
+_LISTS = ["missing", "weak", "critical", "next"]
+
+
+def card_completeness(spark: SparkSession, folder: str) -> DataFrame:
+    """Score, identity, presentation and the missing, weak, critical and next fields of each card (2.13.17, 2.13.19, 2.13.27, 2.8.90-2.8.95)."""
+    found = C.evaluate_cards(_cards(spark, folder))
+    return found.select(*[F.array_join(c, ",").alias(c) if c in _LISTS else F.col(c) for c in found.columns])
 
 
 def missing_fields(spark: SparkSession, folder: str) -> DataFrame:
-    """How many cards lack each field."""
-    return C.card_gaps(_cards(spark, folder)).select(F.explode("missing").alias("field")).groupBy("field").agg(F.count(F.lit(1)).alias("cards"))
+    """How many cards lack each field or hold a weak value of it."""
+    return C.evaluate_cards(_cards(spark, folder)).select(F.explode("next").alias("field")).groupBy("field").agg(F.count(F.lit(1)).alias("cards"))
+
+
+def targeted_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether each prepared record may fill the card its code or its brand and name lead to, with points and reason (2.13.22, 2.13.23)."""
+    cards = _cards(spark, folder).select("id", "name", "brand", "barcode", "package_value", "package_unit", T.digits_code(F.col("barcode")).alias("_code"), T.normalize_text(F.col("brand")).alias("_b"), F.get(F.split(T.normalize_text(F.col("name")), " "), F.lit(0)).alias("_w"))
+    needed = C.evaluate_cards(_cards(spark, folder)).select("id", F.col("next").alias("needed"))
+    records = table(spark, folder, "prepared_products", "rec_id", "name", "brand_name", "barcode", "package_value", "package_unit", "image_url")
+    new = records.select("rec_id", F.lit(None).cast("string").alias("new_description"), F.col("brand_name").alias("new_brand"), T.digits_code(F.col("barcode")).alias("_code"), T.normalize_text(F.col("brand_name")).alias("_b"), F.get(F.split(T.normalize_text(F.col("name")), " "), F.lit(0)).alias("_w"), *[F.col(c).alias(f"new_{c}") for c in ("name", "barcode", "package_value", "package_unit", "image_url")])
+    ends = cards.select("id", "_code").join(new.select("rec_id", "_code"), "_code").select("id", "rec_id").unionByName(cards.select("id", "_b", "_w").join(new.select("rec_id", "_b", "_w"), ["_b", "_w"]).select("id", "rec_id")).distinct()
+    met = ends.join(cards.drop("_code", "_b", "_w"), "id").join(new.drop("_code", "_b", "_w"), "rec_id").join(needed, "id")
+    return C.candidate_identity(met).select("id", "rec_id", "accepted", F.round("points", 6).alias("points"), "why")
 
 
 def candidate_relevance(spark: SparkSession, folder: str) -> DataFrame:
@@ -44,18 +60,45 @@ def enrichment_queries(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _EMPTY = lambda c: f"nullif({S.squeeze(c)}, '') is null"
-_VALUE, _UNIT = "coalesce(package_value > 0, false)", f"not ({_EMPTY('package_unit')})"
-_NAMED = f"""with c as (select p.*, b.name as brand from products p left join brands b on b.id = p.brand_id),
-  g as (select id, concat_ws(',', case when {_EMPTY('name')} then 'name' end, case when {_EMPTY('brand')} then 'brand' end, case when not {_VALUE} and not ({_UNIT}) then 'package' end, case when {_EMPTY('image_url')} then 'image' end,
-    case when length(regexp_replace(coalesce(barcode, ''), '[^0-9]', '', 'g')) not between 8 and 14 then 'barcode' end, case when {_EMPTY('subtype')} then 'subtype' end, case when {_EMPTY('keywords')} then 'keywords' end) as missing,
-    concat_ws(',', case when not ({_EMPTY('name')}) and {S.norm('name')} in {S.in_list(I.GENERIC_NAMES)} then 'name' end, case when not ({_EMPTY('brand')}) and lower({S.squeeze('brand')}) in {S.in_list(T.UNKNOWN_BRANDS)} then 'brand' end,
-    case when {_VALUE} <> ({_UNIT}) then 'package' end, case when not ({_EMPTY('image_url')}) and regexp_matches(lower({S.squeeze('image_url')}), 'placeholder|no[-_]?image|default') then 'image' end) as weak from c)"""
+_FOLDED = lambda c: f"replace(lower(coalesce({S.squeeze(c)}, '')), 'ё', 'е')"
+_PLAIN = ["", "кофе", "молоко", "чай", "вода", "пицца", "сыр", "масло", "йогурт", "кефир", "сельдь", "сок", "сметана", "творог", "сливки", "колбаса", "майонез", "паштет", "печенье", "шоколад", "мороженое"]
+_MARKERS = ["placeholder", "no-image", "no_image", "default-product", "default_product", "image-not-found", "image_not_found", "stub"]
+_EVALUATED = f"""c as (select p.*, b.name as brand, 'категория ' || category_id as category from products p left join brands b on b.id = p.brand_id),
+  t as (select *, {_FOLDED('name')} as fn, {_FOLDED('brand')} as fb, {_FOLDED('category')} as fc, {_FOLDED('image_url')} as fi, coalesce(package_value > 0, false) as hv, not ({_EMPTY('package_unit')}) as hu, {Z.code('barcode')} is not null as coded from c),
+  u as (select *, fn not in {S.in_list(_PLAIN)} and (len(regexp_extract_all(fn, '[a-zа-я0-9]+')) >= 2 or length(fn) >= 12) as spec, fb not in {S.in_list(['', 'бренд не указан', 'не указан', 'unknown', 'no brand', 'без бренда'])} as real, fc <> '' as cat,
+    case when fi = '' then 0 when {' or '.join(f"contains(fi, '{m}')" for m in _MARKERS)} then 10 when regexp_matches({S.squeeze('image_url')}, '^https?://') then 40 else 90 end as img from t),
+  g as (select id, round_even(least(case when fn = '' then 0 when spec then 15 else 6 end + case when fb = '' then 0 when real then 12 else 2 end + case when cat then 10 else 0 end + case when hv and hu then 15 when hv or hu then 5 else 0 end
+      + case when img <= 0 then 0 when img < 50 then 3 else img * 0.15 end + case when {_EMPTY('barcode')} then 0 when coded then 12 else 2 end + case when {_EMPTY('subtype')} then 0 else 4 end + case when {_EMPTY('keywords')} then 0 else 5 end, 100), 1)::double as score,
+    (case when coded then 45 else 0 end + case when real then 20 else 0 end + case when spec then 20 else 0 end + case when hv and hu then 15 else 0 end)::double as identity,
+    round_even(case when spec then 20 when fn <> '' then 8 else 0 end + case when real then 15 else 0 end + case when cat then 15 else 0 end + case when hv and hu then 15 else 0 end + img * 0.2, 1)::double as presentation,
+    [case when fn = '' then 'name' end, case when fb = '' then 'brand' end, case when not cat then 'category' end, case when not hv and not hu then 'package' end, case when img <= 0 then 'image_url' end, 'description',
+      case when {_EMPTY('barcode')} then 'barcode' end, case when {_EMPTY('subtype')} then 'subtype' end, case when {_EMPTY('keywords')} then 'keywords' end] as gone,
+    [case when fn <> '' and not spec then 'name' end, case when fb <> '' and not real then 'brand' end, case when hv <> hu then 'package' end, case when img > 0 and img < 50 then 'image_url' end, case when not ({_EMPTY('barcode')}) and not coded then 'barcode' end] as thin,
+    regexp_matches(coalesce({S.squeeze('image_url')}, ''), '^https?://') as unchecked from u),
+  e as (select *, list_filter(gone, lambda x: x is not null) as missing, list_filter(thin, lambda x: x is not null) as weak from g),
+  n as (select *, list_filter(['name', 'brand', 'category', 'package', 'image_url'], lambda x: list_contains(missing, x) or list_contains(weak, x)) as critical,
+    list_filter(['brand', 'name', 'package', 'category', 'image_url', 'barcode', 'description', 'subtype', 'keywords'], lambda x: list_contains(missing, x) or list_contains(weak, x)) as needed from e)"""
+_TARGETS = f"""with {_EVALUATED}, a as (select c.id, c.name, c.brand, {Z.code('barcode')} as code, {S.norm('c.brand')} as b, string_split({S.norm('c.name')}, ' ')[1] as w1, {Z.unit('package_unit')} as unit, package_value, package_unit, n.needed, {Z.name_tokens('c.name')} as w, {Z.brandless('c.brand')} as nobrand from c join n using (id)),
+  r as (select rec_id, {Z.code('barcode')} as code, {S.norm('brand_name')} as b, string_split({S.norm('name')}, ' ')[1] as w1, {Z.unit('package_unit')} as unit, package_value, {Z.name_tokens('name')} as w, {Z.brandless('brand_name')} as nobrand, coalesce(image_url, '') <> '' as pictured from prepared_products),
+  q as (select id, rec_id from a join r on a.code = r.code union select id, rec_id from a join r on a.b = r.b and a.w1 = r.w1),
+  j as (select q.*, {Z.overlap('a.w', 'r.w')}, coalesce(a.code = r.code, false) as same, coalesce(a.code <> r.code, false) as other, a.nobrand, r.nobrand as nobrand2, a.b = r.b as brands, a.package_value is not null and coalesce(a.package_unit, '') <> '' as packed, list_contains(a.needed, 'image_url') and r.pictured as picture, r.pictured,
+    {Z.base('a.package_value', 'a.unit')} as x, {Z.base('r.package_value', 'r.unit')} as y, {Z.family('a.unit')} as fx, {Z.family('r.unit')} as fy from q join a using (id) join r using (rec_id)),
+  k as (select *, case when x is not null and y is not null then case when fx <> fy then false else abs(x - y) <= greatest(x, y) * 0.005 end end as fits from j),
+  z as (select *, case when other then 'barcode_conflict' when not nobrand and not nobrand2 and not brands then 'brand_conflict' when not fits then 'package_conflict' when same and common <= 0 and coverage < 0.5 then 'barcode_name_mismatch' when same then 'exact_barcode'
+    when not nobrand and nobrand2 then 'missing_external_brand' when nobrand and nobrand2 then 'no_brand_evidence' when packed and not coalesce(fits, false) then 'package_not_confirmed' when common < 2 then 'weak_name_common_tokens' when coverage < 0.8 then 'weak_name_coverage'
+    when jaccard < 0.55 then 'weak_name_jaccard' else 'brand_name_package' end as why from k)
+  select id, rec_id, why in ('exact_barcode', 'brand_name_package') as accepted, why, round(case when why = 'exact_barcode' then 100 + case when pictured then 3 else 0 end when why = 'brand_name_package' then 55 + coverage * 20 + jaccard * 15 + case when fits then 10 else 0 end + case when picture then 5 else 0 end else 0 end, 6)::double as points from z"""
+_BASE_QUERY = f"nullif(concat_ws(' ', {Z.filled('brand')}, {Z.filled('name')}), '')"
 _WORDS = lambda x: f"list_distinct(list_filter(string_split({S.norm(x)}, ' '), lambda w: length(w) >= 2))"
 
-QUERIES = {"card_gaps": card_gaps, "missing_fields": missing_fields, "candidate_relevance": candidate_relevance, "enrichment_queries": enrichment_queries}
+QUERIES = {f.__name__: f for f in (card_completeness, missing_fields, targeted_candidates, candidate_relevance, enrichment_queries)}
 SQL = {
-    "card_gaps": _NAMED + " select id, missing, weak from g",
-    "missing_fields": _NAMED + ", f as (select unnest(string_split(missing, ',')) as field from g where missing <> '') select field, count(*) as cards from f group by field",
+    "card_completeness": f"with {_EVALUATED} select id, score, identity, presentation, array_to_string(missing, ',') as missing, array_to_string(weak, ',') as weak, array_to_string(critical, ',') as critical, array_to_string(needed, ',') as next, unchecked, len(critical) = 0 and not unchecked and score >= 85 and identity >= 55 and presentation >= 80 as complete from n",
+    "missing_fields": f"with {_EVALUATED}, f as (select unnest(needed) as field from n) select field, count(*) as cards from f group by field",
+    "targeted_candidates": _TARGETS,
+    "enrichment_queries": f"""with c as (select p.*, b.name as brand from products p left join brands b on b.id = p.brand_id),
+      q as (select id, {_BASE_QUERY} as base, {_BASE_QUERY} || ' ' || {Z.number('cast(package_value as varchar)')} || ' ' || {Z.filled('package_unit')} as whole from c),
+      l as (select id, list_filter([whole, base], lambda x: x is not null) as asked from q where base is not null) select id, cast(generate_subscripts(asked, 1) - 1 as integer) as pos, unnest(asked) as query from l""",
     "candidate_relevance": f"""with r as (select rec_id, name, brand_name, image_url, concat_ws(' ', name, brand_name, category_name) as t from prepared_products),
     m as (select query_id, rec_id, {_WORDS('query')} as a, {_WORDS('t')} as h, contains({S.norm('t')}, {S.norm('query')}) as whole, name, brand_name, image_url from r, {_ASKED_SQL}),
     s as (select *, len(list_intersect(a, h)) as e, len(list_filter(a, lambda w: not list_contains(h, w) and length(w) >= 4 and len(list_filter(h, lambda x: length(x) >= 4 and (contains(x, w) or contains(w, x)))) > 0)) as p from m),

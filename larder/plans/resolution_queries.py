@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from larder.functions import text as T
 from larder.operators import families as A
 from larder.operators import resolution as R
+from larder.plans import identity_sql as Z
 from larder.plans import sqltext as S
 from larder.runtime import small_broadcast, table
 
@@ -30,9 +31,22 @@ def _listings(spark: SparkSession, folder: str, *extra: str) -> DataFrame:
     return table(spark, folder, "products", *columns).join(small_broadcast(brands), "brand_id", "left")
 
 
+def _catalogue(spark: SparkSession, folder: str) -> DataFrame:
+    """Listings with brand, category name and source links, as resolution reads them; the tables name no category but by number."""
+    links = table(spark, folder, "product_sources", "product_id", "provider", "source_id").groupBy("product_id").agg(F.collect_list(F.struct("provider", "source_id")).alias("links"))  # the links of one listing
+    listed = _listings(spark, folder, "image_url", "keywords").withColumn("category", F.concat(F.lit("категория "), F.col("category_id")))
+    return listed.join(links.withColumnRenamed("product_id", "id"), "id", "left")
+
+
+def _stored(spark: SparkSession, folder: str) -> DataFrame:
+    """Every stored candidate pair once, the smaller id left."""
+    pairs = table(spark, folder, "duplicate_candidates", "left_id", "right_id").filter("left_id is not null and right_id is not null and left_id <> right_id")
+    return pairs.select(F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id")).distinct()
+
+
 _DROP = S.in_list([*A.MARKETING, *A.PACKAGING, *A.TECHNICAL])
-_FAMILY = f"""with s as (select p.id, p.category_id, {S.norm('p.name')} as n, {S.norm('b.name')} as b, lower({S.squeeze("coalesce(b.name, '')")}) as raw, coalesce({S.norm('p.subtype')}, '') as st from products p left join brands b on b.id = p.brand_id),
-  c as (select id, category_id, st, case when b is null or b = '' or raw in {S.in_list(T.UNKNOWN_BRANDS)} then n else trim(regexp_replace(replace(' ' || n || ' ', ' ' || b || ' ', ' '), ' +', ' ', 'g')) end as n from s),
+_FAMILY = f"""with s as (select p.id, p.category_id, {S.norm('p.name')} as n, {S.norm('b.name')} as b, {Z.brandless('b.name')} as raw, coalesce({S.norm('p.subtype')}, '') as st from products p left join brands b on b.id = p.brand_id),
+  c as (select id, category_id, st, case when b is null or b = '' or raw then n else trim(regexp_replace(replace(' ' || n || ' ', ' ' || b || ' ', ' '), ' +', ' ', 'g')) end as n from s),
   w as (select id, category_id, list_filter(list_concat(string_split(n, ' '), string_split(st, ' ')), lambda x: x <> '' and not regexp_matches(x, '^[0-9]+$') and x not in {_DROP}) as w from c),
   f as (select id, category_id, nullif(array_to_string(list_slice(list_filter(w, lambda x, i: list_position(w, x) = i), 1, 5), ' '), '') as family from w)"""
 
@@ -97,43 +111,105 @@ def intent_ngrams(spark: SparkSession, folder: str) -> DataFrame:
     return A.intents(hits)
 
 
-_TOKENS = f"""t as (select id, brand_id, category_id, {S.norm('name')} as n, length(regexp_replace(coalesce(barcode, ''), '[^0-9]', '', 'g')) between 8 and 14 as coded,
-  list_distinct({S.tokens3('name')}) as w from products where brand_id is not null and category_id is not null),
-  x as (select id, brand_id, category_id, coded, unnest(w) as word from t), z as (select brand_id, category_id, word from x group by all having count(*) between 2 and 50), s as (select x.* from x join z using (brand_id, category_id, word)),
-  sh as (select a.id as left_id, b.id as right_id, count(*) as common, max(cast(a.coded <> b.coded as int)) as one from s a join s b using (brand_id, category_id, word) where a.id < b.id group by a.id, b.id),
-  ex as (select f.left_id, t.id as right_id from t join (select brand_id, category_id, n, min(id) as left_id from t where n <> '' group by all) f using (brand_id, category_id, n) where t.id > f.left_id),
-  pairs as (select left_id, right_id, max(common) as common, max(same) = 1 as same_name from (select left_id, right_id, common, 0 as same from sh where common >= 2 or one = 1 union all select left_id, right_id, 0, 1 from ex) group by all)"""
+_PAIRS = """select distinct least(left_id, right_id) as left_id, greatest(left_id, right_id) as right_id from duplicate_candidates where left_id is not null and right_id is not null and left_id <> right_id"""
+_BASE = "y as (select id, nb, bucket, n, code is not null as coded, w from f where not nobrand and bucket is not null and bucket <> '')"
+_EXACT = "ex as (select g.left_id, y.id as right_id from y join (select nb, bucket, n, min(id) as left_id from y where n <> '' group by all) g using (nb, bucket, n) where y.id > g.left_id)"
+_UNITED = "select left_id, right_id, max(common) as common, max(same) = 1 as same_name from (select left_id, right_id, common, 0 as same from sh union all select left_id, right_id, 0, 1 from ex) group by all"
+_TOKENS = f"""{Z.LISTINGS}, {_BASE}, x as (select id, nb, bucket, coded, unnest(w) as word from y), z as (select nb, bucket, word from x group by all having count(*) between 2 and 50), sm as (select x.* from x join z using (nb, bucket, word)),
+  st as (select a.id as left_id, b.id as right_id, count(*) as common, bool_or(a.coded <> b.coded) as one from sm a join sm b using (nb, bucket, word) where a.id < b.id group by all),
+  sh as (select left_id, right_id, common from st where common >= 2 or one), {_EXACT}, pairs as ({_UNITED})"""
 
 
 @query(f"with {_TOKENS} select left_id, right_id, common, same_name from pairs")
 def blocking_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Candidate pairs within brand and category (2.3.7)."""
-    return R.blocking_pairs(table(spark, folder, "products", "id", "brand_id", "category_id", "name", "barcode"))
+    """Candidate pairs within brand and category by the rule of words in blocks of up to 50 listings (2.3.7)."""
+    return R.blocking_pairs(_catalogue(spark, folder))
 
 
 @query(
-    f"""with t as (select id, list_distinct({S.tokens3('name')}) as w, {S.norm('name')} as n, case when length(regexp_replace(barcode, '[^0-9]', '', 'g')) between 8 and 14 then regexp_replace(barcode, '[^0-9]', '', 'g') end as code from products),
-    d as (select distinct least(left_id, right_id) as left_id, greatest(left_id, right_id) as right_id from duplicate_candidates where left_id is not null and right_id is not null and left_id <> right_id),
-    m as (select d.*, len(list_intersect(a.w, b.w)) as c, len(a.w) as x, len(b.w) as y, a.n = b.n as exact_name, a.code = b.code as same_code from d join t a on a.id = d.left_id join t b on b.id = d.right_id)
-    select left_id, right_id, cast(c as integer) as common_words, case when least(x, y) > 0 then c / least(x, y) else 0.0 end as coverage, case when x + y - c > 0 then c / (x + y - c) else 0.0 end as jaccard, exact_name, same_code from m"""
+    f"""with {Z.LISTINGS}, {_BASE}, c as (select nb, bucket, list_sort(w) as w, min(id) as rep, bool_or(coded) as some, bool_and(coded) as every from y where len(w) > 0 group by all),
+    o as (select a.rep as left_id, b.rep as right_id, {Z.overlap('a.w', 'b.w')}, not ((a.every and b.every) or (not a.some and not b.some)) as one from c a join c b using (nb, bucket) where a.rep < b.rep),
+    sh as (select left_id, right_id, common from o where coverage >= 0.70 and (common >= 2 or one) union all select c.rep, y.id, len(y.w) from y join c on c.nb = y.nb and c.bucket = y.bucket and c.w = list_sort(y.w) where y.id > c.rep),
+    {_EXACT} select left_id, right_id, common, same_name from ({_UNITED})"""
+)
+def blocking_pairs_exact(spark: SparkSession, folder: str) -> DataFrame:
+    """Candidate pairs without a bound on blocks: all that a similarity rule can accept, between classes of equal words (2.3.7)."""
+    return R.blocking_pairs(_catalogue(spark, folder), most=None)
+
+
+@query(
+    f"with {Z.LISTINGS}, pairs as ({_PAIRS}), {Z.COMPARED} select left_id, right_id, fits as package_compatible, cast(common as integer) as common_count, coverage, jaccard, same_name, same_code, other_code as different_codes, one_code, pct as pct_conflict, cnt as cnt_conflict, pk as pk_conflict from m"
 )
 def pair_evidence(spark: SparkSession, folder: str) -> DataFrame:
-    """Name overlap and code agreement of every stored candidate pair (2.7.2, 2.7.3, 2.12.1)."""
-    pairs = R.best_pairs(table(spark, folder, "duplicate_candidates", "cand_id", "left_id", "right_id", "score"), F.col("cand_id")).select("left_id", "right_id")
-    return R.evidence(pairs, R.features(_listings(spark, folder))).select("left_id", "right_id", "common_words", "coverage", "jaccard", "exact_name", "same_code")
+    """What the decisions compare, for every stored candidate pair (2.7.1-2.7.3, 2.12.1, 2.3.3)."""
+    found = R.evidence(_stored(spark, folder), R.features(_catalogue(spark, folder)))
+    return found.select("left_id", "right_id", "package_compatible", "common_count", "coverage", "jaccard", "same_name", "same_code", "different_codes", "one_code", "pct_conflict", "cnt_conflict", "pk_conflict")
 
 
-@query()
+@query(f"with {_TOKENS}, {Z.COMPARED}, {Z.SCANNED} select left_id, right_id, x.c as classification, x.w as reason, cast(x.s as double) as score, hard, soft from r")
 def pair_classes(spark: SparkSession, folder: str) -> DataFrame:
-    """Class, reason, conflicts and differences of every blocked pair (2.12.1, 2.12.2, 2.12.5); its rules are tested one by one."""
-    found = R.evidence(blocking_pairs(spark, folder), R.features(_listings(spark, folder))).withColumn("_c", R.classify())
-    return found.select("left_id", "right_id", "_c.class", "_c.reason", F.array_join("hard", ",").alias("hard"), F.array_join("soft", ",").alias("soft"))
+    """Class, reason, score, conflicts and differences of every blocked pair by the scanner's rules (2.12.1, 2.12.2, 2.12.5)."""
+    found = R.scan(blocking_pairs(spark, folder).select("left_id", "right_id"), R.features(_catalogue(spark, folder)))
+    return found.select("left_id", "right_id", "classification", "reason", "score", F.array_join("hard_conflicts", ",").alias("hard"), F.array_join("soft_differences", ",").alias("soft"))
 
 
-@query()
+@query(f"with {_TOKENS}, {Z.COMPARED}, {Z.SCANNED} select x.c as classification, x.w as reason, count(*) as n from r group by all")
 def reject_reasons(spark: SparkSession, folder: str) -> DataFrame:
     """How many blocked pairs each class and reason has (2.4.13)."""
-    return pair_classes(spark, folder).groupBy("class", "reason").agg(F.count(F.lit(1)).alias("n"))
+    return pair_classes(spark, folder).groupBy("classification", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"""with {_TOKENS}, {Z.COMPARED}, {Z.SCANNED}, q as (select id, package_value, package_unit, links from l) select r.left_id, r.right_id, x.c as classification, a.brand as left_brand, b.brand as right_brand, a.category as left_category, a.name as left_name, b.name as right_name, a.code as left_barcode, b.code as right_barcode,
+      case when c.package_value is not null then cast(c.package_value as varchar) || coalesce(c.package_unit, '') end as left_package, cast(len(d.links) as integer) as right_sources, array_to_string(a.pct, ',') as left_percentages, array_to_string(b.cnt, ',') as right_counts,
+      array_to_string(a.pk, ',') as left_name_packages, array_to_string(a.v, ',') as left_variant_tokens, array_to_string({Z.without('a.v', 'b.v')}, ',') as left_only_variants, array_to_string({Z.without('b.v', 'a.v')}, ',') as right_only_variants
+    from r join f a on a.id = r.left_id join f b on b.id = r.right_id join q c on c.id = r.left_id join q d on d.id = r.right_id where x.c <> 'REJECT'"""
+)
+def candidate_records(spark: SparkSession, folder: str) -> DataFrame:
+    """The scanner's records of the pairs it does not reject, lists as text (2.12.6, 2.1.31)."""
+    found = R.scan(blocking_pairs(spark, folder).select("left_id", "right_id"), R.features(_catalogue(spark, folder))).filter("classification <> 'REJECT'")
+    plain = ["left_id", "right_id", "classification", "left_brand", "right_brand", "left_category", "left_name", "right_name", "left_barcode", "right_barcode", "left_package", "right_sources"]
+    lists = ["left_percentages", "right_counts", "left_name_packages", "left_variant_tokens", "left_only_variants", "right_only_variants"]
+    return found.select(*plain, *[F.array_join(c, ",").alias(c) for c in lists])
+
+
+@query(
+    f"""with {Z.LISTINGS}, pairs as ({_PAIRS}), {Z.COMPARED}, {Z.VERIFIED}, {Z.SCORED} select v.left_id, v.right_id, x.c as classification, x.w as reason, cast(x.s as double) as confidence, positive as positive_evidence, negative as negative_evidence,
+      case when x.c = 'CONFIRMED_SAME_SKU' then {Z.CHOSEN} end as canonical_product_id from v join s a on a.id = v.left_id join s b on b.id = v.right_id"""
+)
+def verified_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """The verifier's decision on every stored candidate pair with its evidence and the surviving listing (2.12.7, 2.12.8, 2.12.12-2.12.16, 2.12.47)."""
+    listings = _catalogue(spark, folder)
+    found = R.verify(_stored(spark, folder), R.features(listings), R.completeness(listings))
+    return found.withColumn("positive_evidence", F.array_join("positive_evidence", ",")).withColumn("negative_evidence", F.array_join("negative_evidence", ","))
+
+
+@query(f"with {Z.LISTINGS}, pairs as ({_PAIRS}), {Z.COMPARED}, {Z.VERIFIED} select x.c as classification, x.w as reason, count(*) as n from v group by all")
+def verdict_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """How many stored pairs each verdict and reason has (2.1.32)."""
+    return verified_pairs(spark, folder).groupBy("classification", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "with d as (select distinct least(left_id, right_id) as left_id, greatest(left_id, right_id) as right_id from duplicate_candidates where left_id is not null and right_id is not null and left_id <> right_id) select left_id, right_id from d where not exists (select 1 from products p where p.id = left_id and p.is_active) or not exists (select 1 from products p where p.id = right_id and p.is_active)"
+)
+def missing_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored pairs of which a side is no active listing (2.12.16)."""
+    active = table(spark, folder, "products", "id", "is_active").filter("is_active").select("id")
+    pairs = _stored(spark, folder)
+    side = lambda key: pairs.join(active.select(F.col("id").alias(key)), key, "left_anti").select("left_id", "right_id")
+    return side("left_id").unionByName(side("right_id")).distinct()
+
+
+@query(
+    f"""with {Z.LISTINGS}, pairs as ({_PAIRS}), {Z.COMPARED} select left_id as canonical_id, right_id as duplicate_id, concat_ws(',', case when other_code then 'barcode_conflict' end, case when not fits then 'package_conflict' end, case when other_brand then 'brand_conflict' end,
+      case when other_category then 'category_conflict' end, case when common < 2 or coverage < 0.75 or jaccard < 0.45 then 'name_similarity_too_weak' end) as blocked, case when fits is null then 'package_not_confirmed' else '' end as conflicts from m"""
+)
+def consolidation_safety(spark: SparkSession, folder: str) -> DataFrame:
+    """Why each stored pair must not be merged into its smaller id, and what is unsure (2.12.33, 2.12.34)."""
+    pairs = _stored(spark, folder).select(F.col("left_id").alias("canonical_id"), F.col("right_id").alias("duplicate_id"))
+    found = R.safety(pairs, R.features(_catalogue(spark, folder)))
+    return found.withColumn("blocked", F.array_join("blocked", ",")).withColumn("conflicts", F.array_join("conflicts", ","))
 
 
 _BEST = """select a as left_id, b as right_id, classification, reason, score from (select least(left_id, right_id) as a, greatest(left_id, right_id) as b, classification, reason, score,
@@ -147,37 +223,17 @@ def best_candidate_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("left_id", "right_id", "classification", "reason", "score")
 
 
-_FILLED = lambda c: f"nullif({S.squeeze(c)}, '') is not null"
-_COMPLETE = f"""select p.id, case when {_FILLED('p.name')} then 20 else 0 end + case when lower({S.squeeze("coalesce(b.name, '')")}) not in {S.in_list(T.UNKNOWN_BRANDS)} then 15 else 0 end + case when {_FILLED('p.barcode')} then 20 else 0 end
-  + case when p.package_value > 0 and {_FILLED('p.package_unit')} then 15 else 0 end + case when {_FILLED('p.image_url')} then 15 else 0 end + case when {_FILLED('p.subtype')} then 10 else 0 end + case when {_FILLED('p.keywords')} then 5 else 0 end as score
-  from products p left join brands b on b.id = p.brand_id"""
-
-
-@query(_COMPLETE)
+@query(f"with {Z.LISTINGS}, {Z.SCORED} select id, cast(score as double) as score, coded, cast(sources as integer) as sources from s")
 def completeness(spark: SparkSession, folder: str) -> DataFrame:
-    """Completeness of each listing by the fields it has (2.12.10, 2.13.17, 2.13.19)."""
-    return _listings(spark, folder, "image_url", "keywords").select("id", R.completeness(F.col("brand")).alias("score"))
+    """How complete each listing is for the choice of the surviving one (2.12.10, 2.12.11)."""
+    return R.completeness(_catalogue(spark, folder))
 
 
-@query(
-    f"""with s as ({_COMPLETE}), n as (select product_id, count(distinct (lower(trim(provider)), source_id)) as sources from product_sources group by product_id),
-    f as (select s.id, s.score, length(regexp_replace(coalesce(p.barcode, ''), '[^0-9]', '', 'g')) between 8 and 14 as coded, coalesce(n.sources, 0) as sources from s join products p using (id) left join n on n.product_id = s.id), d as ({_BEST})
-    select d.left_id, d.right_id, case when (a.score, a.coded, a.sources, -a.id) >= (b.score, b.coded, b.sources, -b.id) then a.id else b.id end as canonical_id from d join f a on a.id = d.left_id join f b on b.id = d.right_id where d.classification = 'AUTO_SAFE'"""
-)
+@query(f"with {Z.LISTINGS}, {Z.SCORED}, d as ({_BEST}) select d.left_id, d.right_id, {Z.CHOSEN} as canonical_id from d join s a on a.id = d.left_id join s b on b.id = d.right_id where d.classification = 'AUTO_SAFE'")
 def canonical_choice(spark: SparkSession, folder: str) -> DataFrame:
     """The surviving listing of each safe pair (2.12.9, 2.12.14, 2.3.2)."""
-    return R.choose_canonical(_safe(spark, folder), _scored(spark, folder))
-
-
-def _safe(spark: SparkSession, folder: str) -> DataFrame:
-    return best_candidate_pairs(spark, folder).filter("classification = 'AUTO_SAFE'").select("left_id", "right_id")
-
-
-def _scored(spark: SparkSession, folder: str) -> DataFrame:
-    source = F.struct(F.lower(F.trim("provider")).alias("p"), "source_id")
-    sources = table(spark, folder, "product_sources", "product_id", "provider", "source_id").groupBy("product_id").agg(F.countDistinct(source).alias("sources"))
-    listed = _listings(spark, folder, "image_url", "keywords").select("id", R.completeness(F.col("brand")).alias("score"), T.digits_code(F.col("barcode")).isNotNull().alias("coded"))
-    return listed.join(sources.withColumnRenamed("product_id", "id"), "id", "left").select("id", "score", "coded", F.coalesce("sources", F.lit(0)).alias("sources"))
+    safe = best_candidate_pairs(spark, folder).filter("classification = 'AUTO_SAFE'").select("left_id", "right_id")
+    return R.choose_canonical(safe, R.completeness(_catalogue(spark, folder)))
 
 
 _MAP = "(select greatest(left_id, right_id) as id, min(least(left_id, right_id)) as canonical_id from duplicate_candidates where left_id is not null and right_id is not null and left_id <> right_id and classification = 'AUTO_SAFE' group by 1)"

@@ -10,6 +10,7 @@ from larder.functions import text as T
 from larder.functions import trigram as G
 from larder.operators import ratings as R
 from larder.operators import search as Q
+from larder.plans import identity_sql as Z
 from larder.plans import sqltext as S
 from larder.runtime import table
 
@@ -43,7 +44,7 @@ def _n(x: str) -> str:
 
 _CATALOGUE = f"""select p.id, p.name, b.name as brand, p.barcode, p.image_url, p.package_value, p.package_unit, {_n('p.name')} as n_name, {_n('b.name')} as n_brand, {_n('b.aliases')} as n_aliases,
   {_n('p.subtype')} as n_subtype, {_n('p.keywords')} as n_keywords, {_n('p.search_text')} as n_search from products p left join brands b on b.id = p.brand_id where p.is_active"""
-_ORDER = f"""case when lower({S.squeeze("coalesce(brand, '')")}) in {S.in_list(T.UNKNOWN_BRANDS)} then 1 else 0 end, case when length(trim(name)) <= length(nq) + 3 then 1 else 0 end,
+_ORDER = f"""case when {Z.brandless('brand')} then 1 else 0 end, case when length(trim(name)) <= length(nq) + 3 then 1 else 0 end,
   cast(image_url is null as int) + cast(barcode is null as int) + cast(package_value is null or package_unit is null as int), length(name), coalesce(brand, ''), name, id"""
 _STRICT = f"""with c as ({_CATALOGUE}), q as (select query_id, {S.norm('query')} as nq, string_split({S.norm('query')}, ' ') as words from {_ASKED_SQL}),
   h as (select *, concat_ws(' ', n_name, n_brand, n_aliases, n_subtype, n_keywords, n_search) as hay from c, q),

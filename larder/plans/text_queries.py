@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from larder.functions import identity as I
 from larder.functions import text as T
+from larder.plans import identity_sql as Z
 from larder.plans import sqltext as S
-from larder.runtime import table
+from larder.runtime import small_broadcast, table
 
 QUERIES, SQL = {}, {}
 
@@ -103,7 +104,7 @@ def shared_barcodes(spark: SparkSession, folder: str) -> DataFrame:
     return codes.groupBy("code").agg(F.count(F.lit(1)).alias("listings"), F.min("id").alias("first_id")).filter("listings > 1")
 
 
-_UNIT = "case " + " ".join(f"when replace(lower({S.squeeze('package_unit')}), '.', '') in {S.in_list(spelled)} then '{u}'" for u, spelled in I.PACKAGE_UNITS.items()) + f" else nullif(replace(lower({S.squeeze('package_unit')}), '.', ''), '') end"
+_UNIT = Z.unit('package_unit')
 
 
 @query(
@@ -137,44 +138,33 @@ def package_compatibility(spark: SparkSession, folder: str) -> DataFrame:
     return met.select("left_id", "right_id", I.packages_compatible(F.col("lb"), F.col("lf"), F.col("rb"), F.col("rf")).alias("compatible"))
 
 
-def _sql_canonical(v: str) -> str:
-    return f"case when contains({v}, '.') then regexp_replace({v}, '\\.?0+$', '') else {v} end"
-
-
 @query(
-    f"""select id,
-    array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(lower(name), '([0-9]+(?:[.,][0-9]+)?)\\s*(?:%|проц)', 1), lambda v: {_sql_canonical("replace(v, ',', '.')")}))), ' ') as percentages,
-    array_to_string(list_sort(list_distinct(regexp_extract_all(lower(name), '([0-9]+)\\s*(?:шт|штук|pcs)(?:$|[^\\p{{L}}\\p{{N}}])', 1))), ' ') as counts from products"""
+    f"""select id, array_to_string({Z.percentages('name')}, ' ') as percentages, array_to_string({Z.counts('name')}, ' ') as counts, array_to_string({Z.packages('name')}, ' ') as packages, array_to_string({Z.markers('name')}, ' ') as markers from products"""
 )
 def name_markers(spark: SparkSession, folder: str) -> DataFrame:
-    """Percentages and piece counts written in each name (2.8.41, 2.8.42)."""
-    return table(spark, folder, "products", "id", "name").select("id", F.array_join(I.percentages(F.col("name")), " ").alias("percentages"), F.array_join(I.counts(F.col("name")), " ").alias("counts"))
+    """Percentages, piece counts, packages and other numbers written in each name (2.8.41-2.8.44, 2.8.111)."""
+    name = F.col("name")
+    found = {"percentages": I.percentages(name), "counts": I.counts(name), "packages": I.name_packages(name), "markers": I.numeric_markers(name)}
+    return table(spark, folder, "products", "id", "name").select("id", *[F.array_join(v, " ").alias(c) for c, v in found.items()])
 
 
 @query(
-    f"""with t as (select p.id, list_filter(string_split({S.norm('p.name')}, ' '), lambda w: length(w) >= 3 and not regexp_matches(w, '[0-9]')) as w,
-      coalesce({S.tokens3('b.name')}, []) as own from products p left join brands b on b.id = p.brand_id),
-    u as (select id, own, unnest(list_distinct(w)) as word from t)
-    select id, word from u where not list_contains(own, word) and word not in {S.in_list(I.GENERIC_WORDS)}"""
+    f"""with t as (select p.id, {Z.variants('p.name')} as scan, {Z.variants('p.name', 'merge')} as merge, {Z.brand_tokens('b.name')} as own, {Z.name_tokens('p.name')} as core, {Z.text_tokens('p.name')} as words from products p left join brands b on b.id = p.brand_id)
+    select id, array_to_string({Z.without('scan', 'own')}, ' ') as scan_variants, array_to_string({Z.without('merge', 'own')}, ' ') as merge_variants, array_to_string(list_sort(core), ' ') as core_words, array_to_string(list_sort(words), ' ') as words from t"""
 )
 def variant_words(spark: SparkSession, folder: str) -> DataFrame:
-    """Words of each name that are neither of its brand nor generic, one a row (2.8.38-2.8.40)."""
+    """Words of each name that may tell its variant by both sets of rules, its core words and all its words (2.8.36-2.8.40, 2.8.110, 2.8.113)."""
     brands = table(spark, folder, "brands", "id", "name").select(F.col("id").alias("brand_id"), F.col("name").alias("_brand"))
-    met = table(spark, folder, "products", "id", "name", "brand_id").join(brands, "brand_id", "left")
-    return met.select("id", F.explode(I.variant_tokens(F.col("name"), F.col("_brand"))).alias("word"))
+    met, name, brand = table(spark, folder, "products", "id", "name", "brand_id").join(small_broadcast(brands), "brand_id", "left"), F.col("name"), F.col("_brand")
+    found = {"scan_variants": I.variant_tokens(name, brand), "merge_variants": I.variant_tokens(name, brand, "merge"), "core_words": I.name_tokens(name), "words": I.text_tokens(name)}
+    return met.select("id", *[F.array_join(F.array_sort(v), " ").alias(c) for c, v in found.items()])
 
 
-@query(
-    f"""with q as (select id, {S.squeeze('name')} as t, {S.norm('name')} as n, len(regexp_extract_all(lower(name), '[\\p{{L}}\\p{{N}}]+')) as k, lower({S.squeeze('image_url')}) as i from products)
-    select id, case when coalesce(length(t), 0) = 0 then 0 else least(greatest(20 + case when n not in {S.in_list(I.GENERIC_NAMES)} then 30 else 0 end + least(k * 5, 25)
-      + case when regexp_matches(t, '[0-9]') then 5 else 0 end + case when length(t) >= 12 then 10 else 0 end - case when length(t) > 180 then 20 else 0 end, 0), 100) end as name_quality,
-    case when coalesce(i, '') = '' then 0 when regexp_matches(i, 'placeholder|no[-_]?image|default') then 10 when regexp_matches(i, '^https?://.*\\.(?:jpe?g|png|webp)(?:\\?.*)?$') then 80
-      when regexp_matches(i, '^https?://') then 70 else 95 end as image_quality from q"""
-)
+@query(f"select id, {Z.name_quality('name')} as name_quality, {Z.image_quality('image_url')} as image_quality, {Z.plain('name')} as plain from products")
 def field_quality(spark: SparkSession, folder: str) -> DataFrame:
-    """Quality of the name and the image of each listing (2.8.45, 2.8.47, 2.8.94)."""
+    """Quality of the name and the image of each listing, and whether the name is only a kind of goods (2.8.34, 2.8.45, 2.8.47)."""
     p = table(spark, folder, "products", "id", "name", "image_url")
-    return p.select("id", I.name_quality(F.col("name")).cast("bigint").alias("name_quality"), I.image_quality(F.col("image_url")).alias("image_quality"))
+    return p.select("id", I.name_quality(F.col("name")).cast("bigint").alias("name_quality"), I.image_quality(F.col("image_url")).alias("image_quality"), I.is_generic_name(F.col("name")).alias("plain"))
 
 
 @query(

@@ -1,5 +1,7 @@
 """Blocking, evidence, each rule of the classification, consolidation, families and search on small tables."""
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from larder.operators import families as A
@@ -7,42 +9,102 @@ from larder.operators import ratings as M
 from larder.operators import resolution as R
 from larder.operators import search as Q
 
-LISTING = "id int, name string, brand_id int, brand string, category_id int, barcode string, package_value decimal(10,3), package_unit string, subtype string, is_active boolean, image_url string, keywords string, search_text string"
-
-
-def listing(i, name, code=None, value=None, unit=None, brand="Лад"):
-    return (i, name, 1, brand, 1, code, value, unit, None, True, None, None, None)
-
-
-def classes(spark, left, right):
-    from decimal import Decimal
-
-    fix = lambda r: (*r[:6], None if r[6] is None else Decimal(r[6]), *r[7:])
-    df = spark.createDataFrame([fix(left), fix(right)], LISTING)
-    pairs = spark.createDataFrame([(left[0], right[0])], "left_id int, right_id int")
-    r = R.evidence(pairs, R.features(df)).select(R.classify().alias("c"), "hard").first()
-    return r["c"]["class"], r["c"]["reason"], r["hard"]
-
-
-def test_each_rule(spark):
-    same = "Сыр мраморный пряный ореховый"
-    assert classes(spark, listing(1, "Молоко отборное 3,2%"), listing(2, "Молоко отборное 2,5%"))[:2] == ("REJECT", "hard_identity_conflict")
-    assert classes(spark, listing(1, same, value=900, unit="г"), listing(2, same, value=1, unit="кг"))[2] == ["different_package"]
-    assert classes(spark, listing(1, same, "4600682001286"), listing(2, same, "4607010741555"))[:2] == ("BARCODE_CONFLICT_REVIEW", "exact_name_different_barcode")
-    assert classes(spark, listing(1, same, "4600682001286"), listing(2, same + " лёгкий", "4607010741555"))[:2] == ("REJECT", "different_barcode_and_variant")
-    assert classes(spark, listing(1, same, "4600682001286"), listing(2, same + " сыр сыр", "4 600682 001286"))[:2] == ("AUTO_SAFE", "same_barcode")
-    assert classes(spark, listing(1, same, value=980, unit="г"), listing(2, same, value=1, unit="кг"))[:2] == ("AUTO_SAFE", "exact_name_same_package")
-    assert classes(spark, listing(1, same), listing(2, "сыр сыр " + same))[:2] == ("REVIEW", "shared_tokens")
-    assert classes(spark, listing(1, "Сыр козий"), listing(2, "Хлеб ржаной"))[:2] == ("REJECT", "hard_identity_conflict")
-    assert classes(spark, listing(1, None), listing(2, None))[0] == "REJECT"
+LISTING = "id int, name string, brand_id int, brand string, category_id int, barcode string, package_value decimal(10,3), package_unit string, subtype string, is_active boolean, image_url string, keywords string, search_text string, category string"
+
+
+def listing(i, name, code=None, value=None, unit=None, brand="Лад", category="Сыры", subtype=None):
+    return (i, name, 1, brand, 1, code, None if value is None else Decimal(value), unit, subtype, True, None, None, None, category)
+
+
+def numbered(cases, schema, spark):
+    """The listings of all pairs with ids 1 and 2, 3 and 4, ..., and the pairs: one run for all cases."""
+    rows = [(2 * n + k, *side[1:]) for n, sides in enumerate(cases) for k, side in enumerate(sides, 1)]
+    return spark.createDataFrame(rows, schema), spark.createDataFrame([(2 * n + 1, 2 * n + 2) for n in range(len(cases))], "left_id int, right_id int")
+
+
+CODE, OTHER = "4600682001286", "4607010741555"
+SAME = "Сыр мраморный пряный ореховый"
+
+
+def test_scanner_rules(spark):
+    """One case for each branch; the numbers are those of the fixtures."""
+    turned, hard = "ореховый пряный мраморный", "hard_identity_conflict"
+    cases = [
+        (listing(1, SAME, CODE), listing(2, SAME + " сыр", "4 600682 001286"), "same_barcode", 100.0, None),  # 1
+        (listing(1, SAME, value=900, unit="г"), listing(2, SAME, value=900, unit="г"), "exact_name_and_package", 97.0, None),  # 2
+        (listing(1, SAME, value=900, unit="г", category="Продукты"), listing(2, SAME, value=900, unit="г"), "exact_name_package_generic_category", 90.0, None),  # 3
+        (listing(1, "Сметана отборная 3,2%"), listing(2, "Сметана отборная 2,5%"), hard, 0.0, "different_percentage"),  # 4
+        (listing(1, SAME, value=900, unit="мл"), listing(2, SAME, value=1, unit="л"), hard, 0.0, "different_package"),  # 5
+        (listing(1, SAME, value=980, unit="г"), listing(2, SAME, value=1, unit="кг"), "exact_name_and_package", 97.0, None),  # 6
+        (listing(1, SAME, CODE, 900, "г"), listing(2, SAME, OTHER, 900, "г"), "exact_identity_but_different_barcode", 92.0, None),  # 7
+        (listing(1, SAME, CODE, 900, "г"), listing(2, SAME, OTHER), "exact_name_but_different_barcode_package_unknown", 82.0, "package_present_only_on_one_side"),  # 8
+        (listing(1, "Сыр козий", CODE), listing(2, "козий"), "one_barcode_plus_related_identity", 87.0, "barcode_present_only_on_one_side"),  # 9
+        (listing(1, "Сыр козий пряный"), listing(2, "Сыр козий ореховый"), hard, 0.0, "different_variant_tokens"),  # 10
+        (listing(1, SAME, CODE), listing(2, SAME + " лёгкий", OTHER), "different_barcode_and_variant", 0.0, "one_sided_variant_tokens"),  # 11
+        (listing(1, SAME, value=900, unit="г"), listing(2, SAME, value=900, unit="мл"), hard, 0.0, "different_package"),  # 12
+        (listing(1, SAME, CODE, 900, "г"), listing(2, turned, OTHER, 900, "г"), "near_identical_but_different_barcode", 90.0, None),
+        (listing(1, SAME, CODE), listing(2, turned, OTHER), "different_barcode", 0.0, None),
+        (listing(1, SAME, value=900, unit="г"), listing(2, turned, value=900, unit="г"), "very_strong_identity", 96.0, None),
+        (listing(1, SAME, value=900, unit="г", category="еда"), listing(2, turned, value=900, unit="г"), "very_strong_identity_generic_category", 94.0, None),
+        (listing(1, SAME), listing(2, turned), "strong_similarity_needs_review", 83.0, None),
+        (listing(1, "Сыр"), listing(2, "сыр!"), "exact_name_but_identity_incomplete", 78.0, None),
+        (listing(1, "Сыр козий"), listing(2, "Сыр"), "insufficient_identity_evidence", 0.0, "one_sided_variant_tokens"),
+        (listing(1, "Упаковка 6 шт пряная"), listing(2, "Упаковка 4 шт пряная"), hard, 0.0, "different_count"),
+        (listing(1, None), listing(2, None), "exact_name_but_identity_incomplete", 78.0, None),
+    ]
+    df, pairs = numbered([c[:2] for c in cases], LISTING, spark)
+    got = {r["left_id"]: r for r in R.scan(pairs, R.features(df)).collect()}
+    for n, (*_, reason, score, tag) in enumerate(cases):
+        r = got[2 * n + 1]
+        assert (r["reason"], r["score"]) == (reason, score) and tag in [*r["hard_conflicts"], *r["soft_differences"], None], (n, r)
+
+
+LINKED = LISTING + ", links array<struct<provider:string,source_id:string>>"
+
+
+def test_verifier_rules(spark):
+    pack = dict(value=900, unit="г")
+    linked = lambda row, *links: (*row, list(links))
+    cases = [
+        (listing(1, SAME, **pack), listing(2, SAME, brand="Мир", **pack), "hard_identity_conflict", 99.0, None),
+        (listing(1, SAME, CODE), listing(2, SAME + " лёгкий", OTHER), "different_barcode_plus_variant_difference", 99.0, None),
+        (listing(1, SAME, CODE), listing(2, SAME, OTHER), "barcode_conflict_requires_external_confirmation", 75.0, None),
+        (listing(1, SAME), listing(2, SAME + " лёгкий"), "one_sided_sku_variant_requires_confirmation", 70.0, None),
+        (listing(1, SAME, subtype="козий"), listing(2, SAME, subtype="овечий"), "subtype_difference_requires_confirmation", 70.0, None),
+        (listing(1, SAME, CODE, **pack), listing(2, SAME, CODE, subtype="козий", **pack), "same_barcode_plus_core_identity", 100.0, 2),
+        (linked(listing(1, SAME, **pack), ("a", "1")), linked(listing(2, SAME, **pack), ("A", "1"), ("b", "2")), "same_external_identity_plus_core_identity", 99.0, 2),
+        (linked(listing(1, SAME, **pack), ("a", "1")), linked(listing(2, SAME, **pack), ("b", "2")), "independent_sources_plus_exact_core_identity", 98.0, 1),
+        (listing(1, SAME, **pack), listing(2, SAME, **pack), "core_identity_matches_but_no_independent_confirmation", 85.0, None),
+        (listing(1, SAME), listing(2, SAME), "related_core_identity_needs_more_evidence", 75.0, None),
+        (listing(1, "Сыр"), listing(2, "Чай", category="Чаи"), "weak_name_and_incompatible_category", 95.0, None),
+        (listing(1, None), listing(2, "Чай"), "insufficient_evidence_for_safe_decision", 60.0, None),
+    ]
+    full = [tuple(side if isinstance(side[-1], list) else linked(side) for side in c[:2]) for c in cases]
+    df, pairs = numbered(full, LINKED, spark)
+    got = {r["left_id"]: r for r in R.verify(pairs, R.features(df), R.completeness(df)).collect()}
+    for n, (*_, reason, confidence, side) in enumerate(cases):
+        r = got[2 * n + 1]
+        assert (r["reason"], r["confidence"], r["canonical_product_id"]) == (reason, confidence, side and 2 * n + side), (n, r)
+
+
+def test_consolidation_safety_and_aliases(spark):
+    df = spark.createDataFrame([listing(1, SAME, CODE), listing(2, SAME, OTHER, category="Соки"), listing(3, "сыр")], LISTING)
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "canonical_id int, duplicate_id int")
+    got = {r["duplicate_id"]: (r["blocked"], r["conflicts"]) for r in R.safety(pairs, R.features(df)).collect()}
+    assert got == {2: (["barcode_conflict", "category_conflict"], ["package_not_confirmed"]), 3: (["name_similarity_too_weak"], ["package_not_confirmed"])}
+    aliases = spark.createDataFrame([(1, "Мраморный"), (2, "мраморный!"), (2, "Пряный")], "product_id int, alias string")
+    ids = spark.createDataFrame([(2, 1)], "id int, canonical_id int")
+    assert {(r["product_id"], r["alias"]) for r in R.kept_aliases(aliases, df, ids).collect()} == {(1, "Мраморный"), (1, "Пряный"), (1, SAME)}
 
 
 def test_blocking(spark):
-    df = spark.createDataFrame([listing(1, "Сыр козий ореховый"), listing(2, "козий ореховый сыр мягкий"), listing(3, "Хлеб"), listing(4, "Хлеб"), listing(5, "Хлеб"), listing(6, None), listing(7, "козий", "4600682001286")], LISTING)
-    got = {(r["left_id"], r["right_id"]): (r["common"], r["same_name"]) for r in R.blocking_pairs(df).collect()}
-    assert got[1, 2] == (3, False) and got[3, 4] == (0, True) and got[3, 5] == (0, True) and (4, 5) not in got and got[1, 7] == (1, False)
-    assert (1, 2) not in {(r["left_id"], r["right_id"]) for r in R.blocking_pairs(df, most=1).collect()}
-    assert R.blocking_pairs(df.limit(0)).count() == 0
+    df = spark.createDataFrame([listing(1, "Сыр козий ореховый"), listing(2, "козий ореховый сыр мягкий"), listing(3, "Хлеб"), listing(4, "Хлеб"), listing(5, "Хлеб"), listing(6, None), listing(7, "козий", CODE), listing(8, "козий ореховый", brand="unknown")], LISTING)
+    pairs = lambda **k: {(r["left_id"], r["right_id"]): (r["common"], r["same_name"]) for r in R.blocking_pairs(df, **k).collect()}
+    got = pairs()
+    assert got[1, 2] == (2, False) and got[3, 4] == got[3, 5] == (0, True) and (4, 5) not in got
+    assert got[1, 7] == (1, False) and not any(8 in k for k in got)
+    assert (1, 2) not in pairs(most=1) and pairs(most=None)[1, 2] == (2, False) and (4, 5) not in pairs(most=None) and pairs(most=None)[1, 7] == (1, False)
+    assert R.blocking_pairs(df.limit(0)).count() == 0 and R.blocking_pairs(df.limit(0), most=None).count() == 0
 
 
 def test_consolidation_keeps_own_rows(spark):

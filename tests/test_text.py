@@ -53,6 +53,6 @@ def test_packages_and_markers(spark):
     got = [r[0] for r in df.select(I.packages_compatible(I.package_base(F.col("a"), unit("u")), I.package_family(unit("u")), I.package_base(F.col("b"), unit("w")), I.package_family(unit("w")))).collect()]
     assert got == [True, False, False, None, None]
     assert one(spark, "Молоко 3,20% 2,5 % 10 шт 900 мл 0,9 л", I.percentages) == ["2.5", "3.2"]
-    assert one(spark, "10 шт и 6шт", I.counts) == ["10", "6"]
+    assert one(spark, "10 шт и 6шт", I.counts) == ["10:шт", "6:шт"]
     assert one(spark, "900 мл 0,9 л 2 гречка", I.name_packages) == ["0.9:л", "900:мл"]
     assert one(spark, None, I.percentages) is None and one(spark, None, I.name_quality) == 0
