@@ -79,8 +79,13 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return group_pairs(group_listings(_products(spark, folder), table(spark, folder, "brands", "id", "name", "aliases")))
 
 
+def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per listing with the identifier of its item: the groups themselves, without their pairs."""
+    return group_listings(_products(spark, folder), table(spark, folder, "brands", "id", "name", "aliases"))
+
+
 def p6_recall(spark: SparkSession, folder: str) -> DataFrame:
-    """Recall of the tuned search against exact neighbours."""
+    """Recall of the tuned search against unfiltered exact neighbours, and the least score of an edge."""
     return search_recall(_products(spark, folder), table(spark, folder, "brands", "id", "name", "aliases"))
 
 
@@ -120,7 +125,7 @@ def p10_segments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "p3_found": p3_found, "p3_misses": p3_misses, "p4_found": p4_found, "p5_found": p5_found, "p5_percentiles": p5_percentiles, "p5_daily_digests": p5_daily_digests, "p6_found": p6_found, "p6_recall": p6_recall, "p7_found": p7_found,
+    "p3_found": p3_found, "p3_misses": p3_misses, "p4_found": p4_found, "p5_found": p5_found, "p5_percentiles": p5_percentiles, "p5_daily_digests": p5_daily_digests, "p6_found": p6_found, "p6_groups": p6_groups, "p6_recall": p6_recall, "p7_found": p7_found,
     "p8_ids": p8_ids, "p9_packed": p9_packed, "p9_fill": p9_fill, "p10_found": p10_found, "p10_segments": p10_segments,
 }
 SQL: dict[str, str] = {
