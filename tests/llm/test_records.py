@@ -178,7 +178,7 @@ def test_more_copies_than_neighbours(spark):
 
 def test_numbers_and_variants_veto(spark):
     stated = np.array([[1, 5, 7, 0], [1, 5, 7, 3], [1, 6, 7, 3], [2, 5, 7, 0]])
-    vec = np.ones((4, L.WIDTH), np.float16) / np.sqrt(L.WIDTH)
+    vec = (np.ones((4, L.WIDTH)) / np.sqrt(L.WIDTH)).astype(np.float16)
     data = [(i, *map(int, stated[i]), bytearray(vec[i].tobytes()), 0) for i in range(4)]
     df = spark.createDataFrame(data, "rep int, k0 bigint, k1 bigint, k2 bigint, k3 bigint, vec binary, list int")
     found = L.search_lists(df, np.ones((1, L.WIDTH), np.float32), 1, 0.9, L.Scratch(spark, "veto"))
