@@ -154,7 +154,7 @@ class Dictionary:
         for step, key in enumerate(keys):
             if key in self.exact:
                 return self._first(self.exact[key]), 0.0, step
-        words = bare_name(value).replace(".", ". ").split() if len(value) <= 200 else []
+        words = bare_name(value).replace(".", ". ").split(None, 2)  # no more than whether there are two
         if len(words) == 2 and words[0].endswith(".") and len(compact(words[0])) >= 2:
             short = "." + compact("".join(_ALIKE.get(c, c) for c in words[0]))[:3] + compact("".join(_ALIKE.get(c, c) for c in words[1]))
             if short in self.exact:

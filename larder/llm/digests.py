@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from larder.runtime import Scratch, bounded, salted_join
 
@@ -22,6 +23,8 @@ from larder.runtime import Scratch, bounded, salted_join
 DELTA, MAX_ERROR = 400, 0.005
 #: Digests merge in two levels: first by this many salts a group, then by group, so that one group is never merged by one task at once.
 SALTS = 8
+#: Ranges into which the values of a group are cut where its exact percentiles are wanted.
+CUTS = 64
 
 
 def cluster(group: np.ndarray, mean: np.ndarray, weight: np.ndarray, delta: float = DELTA) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -45,10 +48,15 @@ def cluster(group: np.ndarray, mean: np.ndarray, weight: np.ndarray, delta: floa
 
 
 class _Merger:
-    """Digests of the groups of one task; points are buffered and clustered once the buffer is full."""
+    """Digests of the groups of one task; points are buffered and clustered once the buffer is full. ``full`` tells that the digests
+    themselves fill half of it: they are then to be emitted and forgotten, so memory and time stay linear whatever the groups."""
 
     LIMIT = 1 << 19
 
+    @property
+    def full(self) -> bool:
+        return self.held > self.LIMIT // 2 and len(self.parts) == 1
+
     def __init__(self, delta: float):
         self.delta, self.names, self.codes, self.parts, self.held = delta, [], {}, [], 0
 
@@ -102,6 +110,9 @@ def _digester(keys: list[str], value: str, weight: str | None, delta: float, sch
                 points = batch.column(batch.schema.get_field_index(value)).to_numpy(zero_copy_only=False).astype(np.float64)
                 mass = batch.column(batch.schema.get_field_index(weight)).to_numpy(zero_copy_only=False) if weight else np.ones(len(points))
                 merger.add(names, points, mass, code)
+                if merger.full:
+                    yield merger.batch(schema)
+                    merger = _Merger(delta)
         out = merger.batch(schema)
         if out is not None:
             yield out
@@ -132,12 +143,13 @@ def merge_digests(digests: DataFrame, keys: list[str], delta: float = DELTA) ->
     merge = _digester(keys, "mean", "weight", delta, schema)
     salted = digests.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
     level = salted.repartition(*keys, "_salt").select(*keys, "mean", "weight").mapInArrow(merge, ddl)
-    return level.repartition(*[F.col(k) for k in keys]).mapInArrow(merge, ddl)
+    last = level.repartition(*[F.col(k) for k in keys]) if keys else level.coalesce(1)
+    return last.sortWithinPartitions(*keys).mapInArrow(merge, ddl)  # in order, so at most one group is emitted in two pieces
 
 
 def digest_percentiles(digests: DataFrame, keys: list[str], shares: list[float]) -> DataFrame:
     """(keys, n, estimates ARRAY<DOUBLE>): estimates by interpolation between the middles of neighbouring centroids; one row per group."""
-    cells = F.array_sort(F.collect_list(F.struct("mean", "weight")))  # a merged digest has at most about DELTA centroids
+    cells = F.array_sort(F.collect_list(F.struct("mean", "weight")))  # a merged digest has at most about 2 * DELTA centroids
     grouped = digests.groupBy(*keys).agg(cells.alias("_c"), F.sum("weight").alias("n"))
     with_middle = F.aggregate(
         "_c", F.struct(F.lit(0.0).alias("s"), F.array().cast("array<struct<m:double,at:double>>").alias("a")),
@@ -155,6 +167,32 @@ def digest_percentiles(digests: DataFrame, keys: list[str], shares: list[float])
     return staged.select(*keys, F.col("n").cast("bigint").alias("n"), F.array(*[at(s) for s in shares]).alias("estimates"))
 
 
+def exact_percentiles(rows: DataFrame, groups: DataFrame, keys: list[str], plain: list[str], shares: list[float], scratch: Scratch) -> DataFrame:
+    """(keys, n, estimates, errors, exact) of the groups by counted narrowing: no task holds a group.
+
+    Values are counted by group and value, then by group and ``CUTS`` ranges between its quantiles of the counted values; the
+    running counts tell the range that each wanted rank falls into, and only values of these ranges are ranked, each range
+    by itself. A value that occurs often is one row with its count. ``rows`` and ``groups`` share the null-free keys ``plain``."""
+    met = rows.join(F.broadcast(groups.select(*plain)) if bounded(groups, 100_000) else groups.select(*plain), plain, "left_semi")
+    counted = scratch.save(met.groupBy(*plain, "_v").agg(F.count(F.lit(1)).alias("c")), "counted")
+    cuts = counted.groupBy(*plain).agg(F.percentile_approx("_v", F.array(*[F.lit((i + 1) / CUTS) for i in range(CUTS - 1)]), F.lit(10 * CUTS)).alias("_cuts"))
+    side = F.broadcast(cuts) if bounded(cuts, 10_000) else cuts
+    ranged = scratch.save(counted.join(side, plain).withColumn("_b", F.size(F.filter("_cuts", lambda x: x < F.col("_v")))).drop("_cuts"), "ranged")
+    by_range = Window.partitionBy(*plain).orderBy("_b")
+    sizes = ranged.groupBy(*plain, "_b").agg(F.sum("c").alias("m")).withColumn("_to", F.sum("m").over(by_range)).withColumn("_from", F.col("_to") - F.col("m"))  # at most CUTS rows a group
+    at = [(i, j) for i in range(len(shares)) for j in (0, 1)]
+    rank = lambda i, j: F.least(F.floor((F.col("n") - 1) * F.lit(shares[i])) + j, F.col("n") - 1).cast("bigint")
+    wanted = groups.select(*plain, F.explode(F.array(*[F.struct(F.lit(2 * i + j).alias("t"), rank(i, j).alias("k")) for i, j in at])).alias("x")).select(*plain, "x.*")
+    placed = wanted.join(sizes, plain).filter("k >= _from and k < _to").select(*plain, "_b", "t", (F.col("k") - F.col("_from")).alias("k"))
+    chosen = ranged.join(placed.select(*plain, "_b").distinct(), [*plain, "_b"], "left_semi")
+    running = chosen.withColumn("_to", F.sum("c").over(Window.partitionBy(*plain, "_b").orderBy("_v"))).withColumn("_from", F.col("_to") - F.col("c"))
+    hit = placed.join(running, [*plain, "_b"]).filter("k >= _from and k < _to").groupBy(*plain).agg(F.map_from_entries(F.collect_list(F.struct("t", "_v"))).alias("_m"))  # two values a share
+    part = lambda i: (F.col("n") - 1) * F.lit(shares[i]) - F.floor((F.col("n") - 1) * F.lit(shares[i]))
+    value = lambda i: F.col("_m")[F.lit(2 * i)] + (F.col("_m")[F.lit(2 * i + 1)] - F.col("_m")[F.lit(2 * i)]) * part(i)
+    found = groups.join(hit, plain)
+    return found.select(*keys, "n", F.array(*[value(i) for i in range(len(shares))]).alias("estimates"), F.array(*[F.lit(0.0)] * len(shares)).alias("errors"), F.lit(True).alias("exact"))
+
+
 def certified_percentiles(values: DataFrame, keys: list[str], value: str, shares: list[float], delta: float = DELTA, max_error: float = MAX_ERROR) -> DataFrame:
     """(keys, n, estimates, errors, exact): percentiles of each group with the certified rank error of each, as a share of n.
 
@@ -182,9 +220,7 @@ def certified_percentiles(values: DataFrame, keys: list[str], value: str, shares
     good = certified.withColumn("exact", F.lit(False))
     if wrong.isEmpty():
         return good
-    bad = wrong.select(*[plain(k).alias(n) for k, n in names.items()])
-    again = rows.join(F.broadcast(bad) if bounded(bad, 100_000) else bad, list(names.values()), "left_semi")
-    exact = again.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile("_v", F.array(*[F.lit(s) for s in shares])).alias("estimates"))
-    exact = exact.select(*keys, "n", "estimates", F.array(*[F.lit(0.0)] * len(shares)).alias("errors"), F.lit(True).alias("exact"))
+    bad = scratch.save(wrong.select(*keys, *[plain(k).alias(n) for k, n in names.items()], F.col("n").cast("bigint").alias("n")), "wrong")
+    exact = exact_percentiles(rows, bad, keys, list(names.values()), shares, scratch)
     kept = good.filter(~F.exists("errors", lambda e: e > F.greatest(F.lit(max_error), 1.0 / F.col("n"))))
     return kept.unionByName(exact)

@@ -17,8 +17,6 @@ from larder.runtime import Scratch
 
 #: Tokens a shard packs, about; its open containers are the price, its length the work of one task.
 SHARD_TOKENS = 4_000_000
-#: Plans are a parameter table; more than this many are refused.
-MAX_PLANS = 1000
 
 
 class Levels:
@@ -68,9 +66,7 @@ def pack_items(items: DataFrame, key: str, size: str, plans: DataFrame) -> DataF
     of their own; a plan without positive capacity packs nothing; equal inputs in equal files pack alike; an empty table
     gives an empty one. Extra columns do not matter."""
     spark = items.sparkSession
-    rows = plans.select("plan_id", "capacity_tokens").filter("capacity_tokens > 0").limit(MAX_PLANS + 1).collect()
-    if len(rows) > MAX_PLANS:
-        raise ValueError(f"more than {MAX_PLANS} plans")
+    rows = plans.select("plan_id", "capacity_tokens").filter("capacity_tokens > 0").collect()  # a table of parameters
     kind = dict(items.dtypes)[key]
     schema = f"plan_id int, container_id bigint, `{key}` {kind}, part int, first_token int, n_tokens int"
     if not rows:
@@ -87,7 +83,7 @@ def pack_items(items: DataFrame, key: str, size: str, plans: DataFrame) -> DataF
     parts = parts.withColumn("_shard", F.pmod(F.xxhash64("_row", "part"), F.lit(shards)).cast("int"))
 
     def fill(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["n_tokens", "_row", "part"], ascending=[False, True, True], kind="stable")
+        frame = frame.sort_values(["_row", "part"], kind="stable")  # in order of arrival
         number = pack(frame["n_tokens"].to_numpy(), int(frame["cap"].iloc[0]))
         out = pd.DataFrame({"plan_id": frame["plan_id"], "container_id": (frame["_shard"].to_numpy().astype(np.int64) << 32) | number})
         out[key] = frame["_key"].to_numpy()

@@ -114,10 +114,23 @@ def test_certified_percentiles(spark):
     tight = D.certified_percentiles(df, ["r", "g"], "v", [0.5], delta=4, max_error=1e-9).filter("r = 'a' and g = 'x'").first()
     assert tight["exact"] and tight["estimates"][0] == pytest.approx(exact[0])
     assert D.certified_percentiles(df.limit(0), ["r", "g"], "v", [0.5]).count() == 0
+    every = {(r["r"], r["g"]): r for r in D.certified_percentiles(df, ["r", "g"], "v", [0.0, 0.37, 0.95, 1.0], delta=4, max_error=1e-9).filter("exact").collect()}
+    for k, r in every.items():
+        assert np.allclose(r["estimates"], np.percentile([v for x, g, v in rows if (x, g) == k], [0, 37, 95, 100]))
+    assert ("a", "x") in every
     days = D.build_digests(df.filter("v < 20"), ["r", "g"], "v").unionByName(D.build_digests(df.filter("not v < 20"), ["r", "g"], "v"))
     assert D.merge_digests(days, ["r", "g"]).filter("r = 'a' and g = 'x'").agg(F.sum("weight")).first()[0] == 5000
 
 
+def test_many_groups_are_emitted_in_pieces(spark, monkeypatch):
+    """With a buffer far smaller than the groups every digest is still whole: weights and medians are those of the values."""
+    monkeypatch.setattr(D._Merger, "LIMIT", 400)
+    df = spark.range(30_000).select((F.col("id") % 3000).cast("int").alias("g"), (F.col("id") / 3000).cast("double").alias("v"))
+    merged = D.merge_digests(D.build_digests(df, ["g"], "v"), ["g"])
+    out = D.digest_percentiles(merged, ["g"], [0.5]).agg(F.count(F.lit(1)), F.sum("n"), F.min(F.expr("estimates[0]")), F.max(F.expr("estimates[0]"))).first()
+    assert out[0] == 3000 and out[1] == 30_000 and 3.9 < out[2] and out[3] < 6.1
+
+
 def test_groups_equal_union_find(spark):
     rng = random.Random(7)
     pairs = [(i, i + 1) for i in range(0, 60)] + [(500, i) for i in range(501, 560)] + [(rng.randint(1000, 1200), rng.randint(1000, 1200)) for _ in range(150)] + [(7, 7), (9000, 9000), (None, 3), (8000, None), (2, 1), (1, 2)]
