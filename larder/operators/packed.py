@@ -11,13 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.runtime import blank_trim, salted_join, bounded
+from larder.runtime import blank_trim, salted_join
 
 #: Signs that may delimit values, by name; ``spaced_plus`` is a plus with blanks on both sides.
 CANDIDATES = {
     "comma": ",", "semicolon": ";", "stroke": "/", "bar": "|", "line": "\n", "tab": "\t", "bullet": "•",
     "spaced_plus": "\x02", "plus": "+", "hyphen": "-", "colon": ":", "ampersand": "&", "full_stop": ".",
 }
+#: Sources up to which each has its own pattern as a constant; more are joined to theirs, with the same result.
+MANY_SOURCES = 200
 #: A sign is a delimiter of a source if its score reaches this.
 MIN_SCORE = 0.25
 _MARK = "\x01"
@@ -118,8 +120,9 @@ def split_packed(values: DataFrame, source: str, raw: str, min_score: float = MI
     scores = score_signs(keyed, "_src", raw)
     by_name = F.create_map(*[x for n, s in CANDIDATES.items() for x in (F.lit(n), F.lit(_class(s)))])
     body = scores.groupBy("_src").agg(F.array_join(F.sort_array(F.collect_list(F.when(F.col("score") >= min_score, by_name[F.col("sign")]))), "").alias("_body"))
-    if bounded(body, 200):  # few sources, as a rule: the pattern becomes a literal of each source
-        known = {r["_src"]: r["_body"] for r in body.collect()}
+    few = body.limit(MANY_SOURCES + 1).collect()
+    if len(few) <= MANY_SOURCES:  # as a rule: the pattern becomes a literal of each source
+        known = {r["_src"]: r["_body"] for r in few}
         if not known:
             cut = keyed.withColumn("_values", split_by(F.col(raw), ""))
         else:

@@ -1,7 +1,7 @@
 """Catalogue search for a table of queries at once: strict, fuzzy and suggested hits, merged first seen first.
 
-A query is matched through shared words or trigrams, so hits come from equi-joins on an exploded index and never from a
-product of queries and listings. The query table is the small side; its size is checked before it is broadcast.
+A query is matched through letters of its longest word or through shared trigrams, so hits come from equi-joins on an
+exploded index and never from a product of queries and listings. The query table is broadcast if its counted size allows.
 """
 
 from __future__ import annotations
@@ -12,10 +12,10 @@ from pyspark.sql.window import Window
 
 from larder.functions import text as T
 from larder.functions import trigram as G
-from larder.runtime import bounded, small_broadcast
+from larder.runtime import small_broadcast
 
-#: Queries of one call: the set is held against all rows, so it is passed in blocks of at most this many.
-MAX_QUERIES = 10_000
+#: Letters of a query's longest word that its hits are found by.
+GRAM = 3
 #: Weights of the fields a fuzzy hit is scored on.
 FUZZY_WEIGHTS = {"combined": 1.55, "search_text": 1.50, "name": 1.40, "brand": 1.30, "aliases": 1.15, "keywords": 0.60, "subtype": 0.55}
 PREFIX_BONUS = {"combined": 0.45, "name": 0.40, "brand": 0.35}
@@ -49,18 +49,22 @@ def order_keys(norm_query: F.Column) -> list[F.Column]:
 def strict_search(queries: DataFrame, cat: DataFrame, limit: int = 20) -> DataFrame:
     """(query_id, id, rank): listings that hold every word of the query in some field, best first, ``limit`` a query.
 
-    ``queries`` has query_id and query, at most ``MAX_QUERIES`` of them, held against all listings in one pass, as words may
-    stand inside others. A one-word query equal to a listing's whole name puts that listing last."""
+    ``queries`` has query_id and query, any number of them; words may stand inside others. A query without words finds nothing.
+    A one-word query equal to a listing's whole name puts that listing last."""
     return _strict_ranked(queries, cat, limit).select("query_id", "id", "rank")
 
 
 def _strict_ranked(queries: DataFrame, cat: DataFrame, limit: int) -> DataFrame:
-    """The hits of ``strict_search`` with their n_brand."""
+    """The hits of ``strict_search`` with their n_brand: listings meet a query on the first letters of its longest word."""
     q = queries.select("query_id", T.normalize_text(F.col("query")).alias("nq")).filter("nq <> ''").withColumn("words", F.split("nq", " "))
-    if not bounded(q, MAX_QUERIES):
-        raise ValueError(f"more than {MAX_QUERIES} queries; pass them in blocks")
+    longest = F.array_sort(F.transform("words", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))[0]["w"]
+    q = q.withColumn("_gram", F.substring(longest, 1, GRAM))
+    sizes = sorted(r[0] for r in q.select(F.length("_gram").alias("n")).distinct().collect())  # at most GRAM lengths
     fields = F.concat_ws(" ", "n_name", "n_brand", "n_aliases", "n_subtype", "n_keywords", "n_search")
-    hit = cat.withColumn("_all", fields).join(F.broadcast(q), F.expr("forall(words, w -> contains(_all, w))"))
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("_all") - n + 1, F.lit(1))), lambda i: F.substr(F.col("_all"), i, F.lit(n)))
+    every = F.array_distinct(F.filter(F.concat(*[grams(n) for n in sizes or [GRAM]]), lambda g: ~F.contains(g, F.lit(" "))))
+    met = cat.withColumn("_all", fields).withColumn("_gram", F.explode(every)).join(small_broadcast(q, 300), "_gram")
+    hit = met.filter(F.expr("forall(words, w -> contains(_all, w))"))
     plain = (F.size("words") == 1) & (F.col("n_name") == F.col("nq"))
     relevance = (
         F.when(F.col("n_name") == F.col("nq"), 1).when(F.col("n_brand") == F.col("nq"), 2).when(F.col("n_name").startswith(F.col("nq")), 3)

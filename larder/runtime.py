@@ -24,7 +24,9 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` of the session, or a local one where it is unset (tests, local mode)."""
+    """The folder that all executors share: ``spark.checkpoint.dir`` of the session, or a local one where it is unset in local mode.
+
+    On a cluster a folder of one machine would lose tables with it, so an unset one is an error there."""
     context = spark.sparkContext
     found = context.getCheckpointDir() if hasattr(context, "getCheckpointDir") else None
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
@@ -32,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
         if found is None:
             context.setCheckpointDir(named)
         return named
+    if found is None and not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is unset: name a folder that all executors share")
     if found is None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="larder-shared-"))
         found = context.getCheckpointDir()
