@@ -18,9 +18,9 @@ CYRILLIC_MANY = {"j": "дж", "x": "кс"}
 CYRILLIC_ONE = ("abcdefghiklmnopqrstuvwyz", "абкдефгхиклмнопкрстуввйз")
 #: The keys of the two keyboard layouts.
 LATIN_KEYS, RUSSIAN_KEYS = "`qwertyuiop[]asdfghjkl;'zxcvbnm,.", "ёйцукенгшщзхъфывапролджэячсмитьбю"
-#: Units a query may hold, and words a query does not search for.
-QUERY_UNITS = ["г", "гр", "грамм", "кг", "мл", "л", "литр", "шт", "g", "kg", "ml", "l"]
-STOP_WORDS = ["и", "в", "на", "с", "со", "для", "без", "из", "по", "от", "до"]
+#: Units a query may hold with what they mean, and words a query does not search for.
+QUERY_UNITS = {"г": "г", "гр": "г", "g": "г", "кг": "кг", "kg": "кг", "мл": "мл", "ml": "мл", "л": "л", "l": "л", "шт": "шт"}
+STOP_WORDS = ["и", "в", "во", "на", "с", "со", "из", "для", "по", "под", "без", "от", "до", "к", "у", "а", "или"]
 #: Names that stand for an unknown brand.
 UNKNOWN_BRANDS = ["", "бренд не указан", "не указан", "unknown", "no brand", "без бренда"]
 
@@ -91,6 +91,41 @@ def words(col: Column) -> Column:
     return F.filter(F.split(normalize_text(col), " "), lambda w: w != "")
 
 
+def query_tokens(col: Column, keep_stop_words: bool = False) -> Column:
+    """Numbers and runs of letters of the normal form as structs (value, position, is_number, is_unit, is_stop_word), positions from 0.
+
+    Stop words are left out unless kept. The normal form has no percent sign, so no token is a percentage. Null gives null."""
+    found = F.regexp_extract_all(normalize_text(col), F.lit("[0-9]+|[a-zа-я]+"), F.lit(0))
+    told = F.transform(found, lambda w, i: F.struct(w.alias("value"), i.alias("position"), w.rlike("^(?:[0-9]+|nan|inf|infinity)$").alias("is_number"), w.isin(*QUERY_UNITS).alias("is_unit"), w.isin(*STOP_WORDS).alias("is_stop_word")))
+    return told if keep_stop_words else F.filter(told, lambda t: ~t["is_stop_word"])
+
+
+def query_package(tokens: Column) -> Column:
+    """struct(at, value, unit) of the first positive number with a unit right after it among the tokens, ``at`` counted from 0; null if none."""
+    units = F.create_map(*[x for k, v in QUERY_UNITS.items() for x in (F.lit(k), F.lit(v))])
+    pairs = F.transform(tokens, lambda t, i: F.struct(i.alias("at"), F.when(t["is_number"] & F.get(tokens, i + 1)["is_unit"], t["value"].try_cast("double")).alias("value"), F.try_element_at(units, F.get(tokens, i + 1)["value"]).alias("unit")))
+    return F.get(F.filter(pairs, lambda p: (p["value"] > 0) & p["unit"].isNotNull()), F.lit(0))
+
+
+def without_package(tokens: Column) -> Column:
+    """The tokens without the number and the unit of their package."""
+    at = query_package(tokens)["at"]
+    return F.when(at.isNull(), tokens).otherwise(F.filter(tokens, lambda t, i: (i != at) & (i != at + 1)))
+
+
+def phrase(col: Column) -> Column:
+    """Words in lower case, ё as е, without punctuation at their ends, with single blanks; empty for null."""
+    words_of = F.split(F.translate(F.lower(F.coalesce(squeeze(col), F.lit(""))), "ё", "е"), " ")
+    return F.array_join(F.filter(F.transform(words_of, lambda w: F.btrim(w, F.lit(".,:;!?()[]{}\"'«»"))), lambda w: w != ""), " ")
+
+
+def refined(query: Column, term: Column) -> Column:
+    """The query with a term after it, unless it holds the term already."""
+    asked, more = squeeze(F.coalesce(query, F.lit(""))), squeeze(F.coalesce(term, F.lit("")))
+    held = F.contains(F.translate(F.lower(asked), "ё", "е"), F.translate(F.lower(more), "ё", "е"))
+    return F.when(asked == "", more).when((more == "") | held, asked).otherwise(F.concat(asked, F.lit(" "), more))
+
+
 def search_index(*cols: Column) -> Column:
     """One string of all forms and words of the given fields, each once, in order."""
     parts = [F.concat(F.array(normalize_text(c)), search_variants(c), words(c)) for c in cols]

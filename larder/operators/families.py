@@ -10,9 +10,29 @@ from larder.functions import text as T
 from larder.runtime import small_broadcast
 
 #: Words of a name that do not name the family.
-MARKETING = "новинка премиум отборный отборная отборное классический классическая классическое традиционный традиционная традиционное оригинальный оригинальная оригинальное натуральный натуральная натуральное домашний домашняя домашнее вкусный вкусная вкусное лучший лучшая лучшее".split()
-PACKAGING = "г гр кг мл л шт штук уп упаковка упаковке банка банке бутылка бутылке пачка пачке".split()
-TECHNICAL = "массовая массовой доля долей доли жира жир пищевой пищевая пищевое продукция продукт товар coffees coffee dried instant".split()
+MARKETING = [
+    "новинка", "премиум", "отборный", "отборная", "отборное", "классический", "классическая", "классическое", "традиционный", "традиционная", "традиционное", "оригинальный", "оригинальная", "оригинальное",
+    "натуральный", "натуральная", "натуральное", "домашний", "домашняя", "домашнее", "вкусный", "вкусная", "вкусное", "лучший", "лучшая", "лучшее",
+]
+PACKAGING = ["г", "гр", "кг", "мл", "л", "шт", "штук", "уп", "упаковка", "упаковке", "банка", "банке", "бутылка", "бутылке", "пачка", "пачке"]
+TECHNICAL = ["массовая", "массовой", "доля", "долей", "доли", "жира", "жир", "пищевой", "пищевая", "пищевое", "продукция", "продукт", "товар", "coffees", "coffee", "dried", "instant"]
+#: Phrases left out before a canonical family is looked for.
+FAMILY_PHRASES = ["массовая доля жира", "массовой долей жира", "массовой доли жира", "массовая доля", "массовой долей", "массовой доли", "пищевая продукция", "продукт пищевой", "готовый продукт", "товар", "продукт"]
+#: Canonical families in order: (family, part that must occur, parts of which one must, part that must not); empty asks nothing.
+CANONICAL = [
+    ("Молоко безлактозное", "молок", ["безлактозн", "без лактоз"], ""), ("Молоко ультрапастеризованное", "молок", ["ультрапастеризован", "ультра пастеризован", "uht"], ""), ("Молоко пастеризованное", "молок", ["пастеризован"], "ультрапастеризован"),
+    ("Молоко топлёное", "молок", ["топлен"], ""), ("Молоко питьевое", "молок", ["питьев"], ""), ("Молоко козье", "молок", ["козь"], ""), ("Молоко овсяное", "", ["овсяное молоко", "овсяный напиток"], ""),
+    ("Молоко кокосовое", "", ["кокосовое молоко", "кокосовый напиток"], ""), ("Молоко соевое", "", ["соевое молоко", "соевый напиток"], ""), ("Молоко", "молок", [], ""),
+    ("Кофе растворимый", "коф", ["растворим", "instant coffee", "instant coffees"], ""), ("Кофе молотый", "коф", ["молот", "ground coffee"], ""), ("Кофе в зёрнах", "коф", ["в зернах", "зернов", "coffee beans"], ""),
+    ("Кофе в капсулах", "коф", ["капсул", "capsule"], ""), ("Кофе сублимированный", "коф", ["сублимирован", "freeze dried"], ""), ("Кофе", "коф", [], ""),
+    ("Сельдь в масле", "сельд", ["в масле", "маслян"], ""), ("Сельдь слабосолёная", "сельд", ["слабосолен", "малосолен"], ""), ("Сельдь пряного посола", "сельд", ["пряного посола", "пряный посол"], ""),
+    ("Сельдь специального посола", "сельд", ["специального посола"], ""), ("Филе сельди", "сельд", ["филе", "филейн"], ""), ("Пресервы из сельди", "сельд", ["пресерв"], ""), ("Сельдь с укропом", "сельд", ["укроп"], ""),
+    ("Сельдь в горчичном соусе", "сельд", ["горчиц"], ""), ("Сельдь", "сельд", [], ""),
+    ("Сыр плавленый", "сыр", ["плавлен"], ""), ("Сыр творожный", "сыр", ["творожн"], ""), ("Сыр твёрдый", "сыр", ["тверд"], ""), ("Сыр полутвёрдый", "сыр", ["полутверд"], ""), ("Сыр с голубой плесенью", "сыр", ["голубой плесен"], ""),
+    ("Моцарелла", "", ["моцарелл"], ""), ("Чеддер", "", ["чеддер"], ""), ("Сыр", "сыр", [], ""),
+    ("Спагетти", "", ["спагетти", "spaghetti"], ""), ("Макароны рожки", "макарон", ["рожк"], ""), ("Макароны перья", "макарон", ["перья", "пенне", "penne"], ""), ("Макароны бантики", "макарон", ["бантик", "фарфалле", "farfalle"], ""),
+    ("Вермишель", "", ["вермишель"], ""), ("Макароны", "макарон", [], ""),
+]
 #: Most words of a family name.
 FAMILY_WORDS = 5
 #: Facets of a kind of product: (kind, facet, option, words, one of which a listing has).
@@ -37,6 +57,34 @@ def without_brand(name: Column, brand: Column) -> Column:
     return F.when(brand.isNull() | T.is_unknown_brand(brand) | (b == ""), n).otherwise(cut)
 
 
+def canonical_family(*fields: Column) -> Column:
+    """The first canonical family whose parts occur in the fields (name, category, subtype, keywords), null if none does."""
+    text = T.normalize_text(F.concat_ws(" ", *fields))
+    for phrase in FAMILY_PHRASES:
+        text = F.regexp_replace(text, rf"(?<![\p{{L}}\p{{N}}_]){phrase}(?![\p{{L}}\p{{N}}_])", " ")
+    source = F.trim(F.regexp_replace(text, " +", " "))
+
+    def holds(must: str, any_of: list[str], never: str) -> Column:
+        test = F.contains(source, F.lit(must)) if must else F.lit(True)
+        if any_of:
+            test = test & F.exists(F.array(*[F.lit(p) for p in any_of]), lambda p: F.contains(source, p))
+        return test & ~F.contains(source, F.lit(never)) if never else test
+
+    return F.coalesce(*[F.when(holds(*rule), F.lit(name)) for name, *rule in CANONICAL])
+
+
+def named_families(listings: DataFrame) -> DataFrame:
+    """(id, family, family_id, canonical): each listing's canonical family in normal form, else the one made from its name.
+
+    ``listings`` has id, category_id, name, brand, subtype and keywords. Families are one within a category; a listing whose
+    name leaves nothing has none and no row."""
+    told = listings.select("id", "category_id", T.normalize_text(canonical_family(F.col("name"), F.col("subtype"), F.col("keywords"))).alias("_c"), family_name(F.col("name"), F.col("brand"), F.col("subtype")).alias("_f"))
+    # the generator keeps the filter from being inlined into the rules, which would repeat them
+    named = told.select("id", "category_id", F.explode(F.array(F.struct(F.coalesce("_c", "_f").alias("family"), F.col("_c").isNotNull().alias("canonical")))).alias("_x")).select("id", "category_id", "_x.*").filter("family is not null")
+    ids = named.groupBy("family", "category_id").agg(F.min("id").alias("family_id"))
+    return named.join(ids, ["family", "category_id"]).select("id", "family", "family_id", "canonical")
+
+
 def family_name(name: Column, brand: Column, subtype: Column) -> Column:
     """Brand, numbers and words of packaging, marketing and technique removed, the subtype added, each word once, at most five."""
     drop = [*MARKETING, *PACKAGING, *TECHNICAL]
@@ -87,3 +135,58 @@ def intents(hits: DataFrame, least_hits: int = 6, least: int = 2, top: int = 8)
     pairs = F.when(F.size("_w") > 1, F.transform(F.sequence(F.lit(1), F.size("_w") - 1), lambda i: F.concat(F.get("_w", i - 1), F.lit(" "), F.get("_w", i)))).otherwise(F.array().cast("array<string>"))
     counted = sized.select("query_id", F.explode(F.array_distinct(F.concat("_w", pairs))).alias("phrase")).groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
     return counted.withColumn("_k", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), "phrase"))).filter(F.col("_k") <= top).drop("_k")
+
+
+#: Words and phrases that no intent shows, spellings of words, and titles of known phrases.
+INTENT_TECHNICAL = [
+    "coffee", "coffees", "instant", "freeze", "dried", "food", "foods", "product", "products", "milk", "milks", "drink", "drinks", "beverage", "beverages", "processed", "processing", "natural", "натуральный", "натуральная",
+    "натуральное", "продукт", "продукты", "товар", "товары", "обработанный", "обработанное", "обработанная", "пищевой", "пищевая", "пищевое",
+]
+INTENT_PHRASES = ["массовая доля жира", "массовой долей жира", "массовой доли жира", "ультравысокотемпературно обработанное", "ультравысокотемпературной обработки", "пищевая продукция", "продукт пищевой"]
+INTENT_SPELLINGS = {
+    "ультравысокотемпературно": "ультрапастеризованное", "ультравысокотемпературный": "ультрапастеризованное", "ультравысокотемпературное": "ультрапастеризованное", "ультрапастеризованный": "ультрапастеризованное",
+    "пастеризованный": "пастеризованное", "сгущенное": "сгущённое", "топленое": "топлёное", "безлактозный": "безлактозное", "растворимый": "растворимый",
+}
+INTENT_TITLES = {
+    "молоко питьевое": "Питьевое", "молоко ультрапастеризованное": "Ультрапастеризованное", "молоко пастеризованное": "Пастеризованное", "молоко топленое": "Топлёное", "молоко сгущенное": "Сгущённое", "молоко сухое": "Сухое",
+    "молоко безлактозное": "Безлактозное", "молоко козье": "Козье", "молоко кокосовое": "Кокосовое", "молоко овсяное": "Овсяное", "молоко соевое": "Соевое", "кофе растворимый": "Растворимый", "кофе сублимированный": "Сублимированный",
+    "кофе молотый": "Молотый", "кофе зерновой": "В зёрнах", "кофе в зернах": "В зёрнах", "кофе капсулы": "В капсулах", "кофе в капсулах": "В капсулах", "кофе дрип": "Дрип-пакеты", "кофе три в одном": "3 в 1", "кофе 3 в 1": "3 в 1",
+    "сельдь в масле": "В масле", "сельдь слабосоленая": "Слабосолёная", "сельдь пряного посола": "Пряного посола", "сельдь филе": "Филе", "филе сельди": "Филе", "сельдь пресервы": "Пресервы",
+}
+#: Titles that mean one intent.
+INTENT_SAME = {"ультравысокотемпературное": "ультрапастеризованное", "сублимированный растворимый": "растворимый", "зерновой": "в зернах", "сгущеное": "сгущенное"}
+#: Most words and letters of an intent's title.
+TITLE_WORDS, TITLE_LENGTH = 4, 48
+
+
+def intent_title(phrase: Column, query: Column) -> Column:
+    """The phrase as a title: phrases and words of technique out, spellings unified, each word once, a known title or, without
+    the query before it, its first words; empty if nothing is left."""
+    text = T.normalize_text(phrase)
+    for p in sorted(INTENT_PHRASES, key=lambda p: (-len(p), p)):
+        text = F.regexp_replace(text, rf"(?<![\p{{L}}\p{{N}}_]){p}(?![\p{{L}}\p{{N}}_])", " ")
+    spelled = F.create_map(*[x for k, v in INTENT_SPELLINGS.items() for x in (F.lit(k), F.lit(v))])
+    words = F.transform(F.filter(F.split(text, " +"), lambda w: w != ""), lambda w: F.coalesce(F.try_element_at(spelled, w), w))
+    kept = F.filter(words, lambda w: ~w.isin(*INTENT_TECHNICAL) & ~w.rlike("^[a-z]+$"))
+    once = F.filter(kept, lambda w, i: ~F.exists(F.slice(kept, F.lit(1), i), lambda u: F.translate(u, "ё", "е") == F.translate(w, "ё", "е")))
+    title, asked = F.array_join(once, " "), T.normalize_text(query)
+    known = F.create_map(*[x for k, v in INTENT_TITLES.items() for x in (F.lit(k), F.lit(v))])
+    key = T.normalize_text(title)
+    rest = F.when(F.coalesce(asked, F.lit("")) == "", key).when(key == asked, F.lit("")).when(F.startswith(key, F.concat(asked, F.lit(" "))), F.trim(F.substr(key, F.length(asked) + 2))).otherwise(key)
+    short = F.trim(F.substring(F.array_join(F.slice(F.split(rest, " "), 1, TITLE_WORDS), " "), 1, TITLE_LENGTH))
+    return F.coalesce(F.try_element_at(known, key), F.concat(F.upper(F.substring(short, 1, 1)), F.substr(short, F.lit(2))))
+
+
+def human_intents(found: DataFrame, limit: int = 6) -> DataFrame:
+    """(query_id, title, phrase, n, rank): the intents (query_id, query, phrase, n) of each query by readable titles.
+
+    Titles that are empty, hold words of technique or Latin words, or are too long are left out; of titles that mean one thing
+    the most frequent stays. The order is by frequency, then the shorter title, then its letters from the end."""
+    same = F.create_map(*[x for k, v in INTENT_SAME.items() for x in (F.lit(k), F.lit(v))])
+    titled = found.filter("n > 0").withColumn("title", intent_title(F.col("phrase"), F.col("query"))).withColumn("_k", T.normalize_text(F.col("title")))
+    titled = titled.select("query_id", "phrase", "n", F.explode(F.array(F.struct("title", "_k"))).alias("_x")).select("query_id", "phrase", "n", "_x.*")
+    words = F.split("_k", " ")
+    valid = titled.filter((F.col("_k") != "") & (F.length("title") <= TITLE_LENGTH) & (F.size(F.split("title", " ")) <= TITLE_WORDS) & ~F.exists(words, lambda w: w.isin(*INTENT_TECHNICAL) | w.rlike("^[a-z]{2,}$")))
+    best = valid.withColumn("_k", F.coalesce(F.try_element_at(same, F.col("_k")), "_k")).groupBy("query_id", "_k").agg(F.min_by(F.struct("title", "phrase", "n"), F.struct((-F.col("n")).alias("m"), "phrase")).alias("b")).select("query_id", "b.*")
+    order = Window.partitionBy("query_id").orderBy(F.desc("n"), F.length("title"), F.desc(F.lower("title")))
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max(1, min(limit, 8)))

@@ -57,6 +57,31 @@ def family_assignment(spark: SparkSession, folder: str) -> DataFrame:
     return A.assign_families(_listings(spark, folder))
 
 
+_BOUND = lambda p: f"(^|[^\\p{{L}}\\p{{N}}_]){p}($|[^\\p{{L}}\\p{{N}}_])"
+_SOURCE = S.norm("replace(concat_ws(' ', p.name, p.subtype, p.keywords), ' ', '  ')")
+_FAMILY_RULES = " ".join(
+    "when " + " and ".join([*([f"contains(t, '{must}')"] if must else []), *([f"({' or '.join(f'contains(t, {chr(39)}{x}{chr(39)})' for x in parts)})"] if parts else []), *([f"not contains(t, '{never}')"] if never else [])]) + f" then '{name}'"
+    for name, must, parts, never in A.CANONICAL
+)
+
+
+def _without_phrases(x: str) -> str:
+    x = f"replace({x}, ' ', '  ')"
+    for p in A.FAMILY_PHRASES:
+        x = f"regexp_replace({x}, '{_BOUND(p.replace(' ', ' +'))}', '\\1 \\2', 'g')"
+    return f"trim(regexp_replace({x}, ' +', ' ', 'g'))"
+
+
+@query(
+    _FAMILY + f""", t as (select p.id, {_without_phrases(S.norm("concat_ws(' ', p.name, p.subtype, p.keywords)"))} as t from products p), k as (select id, case {_FAMILY_RULES} end as c from t),
+    g as (select f.id, f.category_id, coalesce({S.norm('k.c')}, f.family) as family, k.c is not null as canonical from f join k using (id))
+    select id, family, min(id) over (partition by family, category_id) as family_id, canonical from g where family is not null"""
+)
+def canonical_families(spark: SparkSession, folder: str) -> DataFrame:
+    """Families by canonical rules, else by the name (2.10.1, 2.10.2, 2.10.8-2.10.14)."""
+    return A.named_families(_listings(spark, folder, "keywords"))
+
+
 @query(_FAMILY + " select family, category_id, count(*) as products, min(id) as family_id from f where family is not null group by family, category_id having count(*) > 1")
 def family_sizes(spark: SparkSession, folder: str) -> DataFrame:
     """Families of more than one listing (2.3.4, 2.4.9)."""
@@ -111,6 +136,13 @@ def intent_ngrams(spark: SparkSession, folder: str) -> DataFrame:
     return A.intents(hits)
 
 
+@query()
+def readable_intents(spark: SparkSession, folder: str) -> DataFrame:
+    """The intents of each query under readable titles, one of those that mean the same (2.10.17-2.10.26); its rules are tested one by one."""
+    asked = spark.createDataFrame(list(enumerate(_INTENT_QUERIES)), "query_id int, query string")
+    return A.human_intents(intent_ngrams(spark, folder).join(F.broadcast(asked), "query_id"))
+
+
 _PAIRS = """select distinct least(left_id, right_id) as left_id, greatest(left_id, right_id) as right_id from duplicate_candidates where left_id is not null and right_id is not null and left_id <> right_id"""
 _BASE = "y as (select id, nb, bucket, n, code is not null as coded, w from f where not nobrand and bucket is not null and bucket <> '')"
 _EXACT = "ex as (select g.left_id, y.id as right_id from y join (select nb, bucket, n, min(id) as left_id from y where n <> '' group by all) g using (nb, bucket, n) where y.id > g.left_id)"

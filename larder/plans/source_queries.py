@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from larder.functions import text as T
+from larder.operators import categories as G
 from larder.plans import sqltext as S
 from larder.runtime import table
 from larder.sources import ingest as N
+from larder.sources import open_records as O
 from larder.sources.schemas import broken, duplicates, orphans
 from larder.streaming.state import state_as_of
 
@@ -67,19 +70,83 @@ def latest_by_code(spark: SparkSession, folder: str) -> DataFrame:
     return best.select("barcode", "r.*")
 
 
+#: Rules of the mapping queries: place, rule, targets, aliases.
+RULES = [
+    (1, "рыба", ["рыба", "рыба и морепродукты"], ["скумбрия", "сельдь", "fish"]), (2, "хлебобулочные изделия", ["хлебобулочные", "хлеб"], ["хлеб", "батон", "bread"]), (3, "чай", ["чай"], ["tea", "teas"]), (4, "кофе", ["кофе"], ["coffee"]),
+    (5, "сок", ["сок"], ["juice", "соки морсы"]), (6, "шоколад", ["шоколад"], ["плитка шоколадная", "chocolate"]), (7, "молоко", ["молоко"], ["milk", "молоко питьевое"]), (8, "нет такой", ["нигде"], ["печенье"]),
+]
+_RULES_SQL = "u(place, rule, targets, aliases) as (values " + ", ".join(f"({p}, '{r}', {t!r}, {a!r})" for p, r, t, a in RULES) + ")"
+_MAPPED = f"""k as (select row_number() over (order by category_name) as id, {S.norm('category_name')} as n from (select distinct category_name from prepared_products where {S.norm('category_name')} <> '')), {_RULES_SQL},
+  tt as (select place, rule, unnest(list_concat([rule], aliases)) as alias, generate_subscripts(list_concat([rule], aliases), 1) as spot from u), t as (select place, rule, spot, {S.norm('alias')} as n from tt),
+  gg as (select rule, unnest(targets) as target, generate_subscripts(targets, 1) as t from u), mt as (select rule, arg_min(k.id, t) as cid from gg join k on k.n = {S.norm('gg.target')} group by rule),
+  w0 as (select key, 0 as way, pos, value, id as cid, 'database_exact' as by from v join k using (n)),
+  w1 as (select key, 1, pos, value, mt.cid, 'rule_exact:' || r.rule from v join (select n, arg_min(rule, place * 1000 + spot) as rule from t group by n) r using (n) join mt on mt.rule = r.rule),
+  i2 as (select key, pos, value, rule, row_number() over (partition by key, pos order by length(t.n) desc, place, spot) as q from v, t where len(list_filter(string_split(t.n, ' '), lambda w: not list_contains(string_split(v.n, ' '), w))) = 0),
+  w2 as (select key, 2, pos, value, cid, 'rule_contains:' || rule from i2 join mt using (rule) where q = 1),
+  i3 as (select key, pos, value, id, row_number() over (partition by key, pos order by length(k.n) desc, id) as q from v, k where k.n not in ('продукты', 'продукт', 'еда', 'food', 'foods', 'products', 'product', 'прочее', 'другое', 'other')
+    and (contains(k.n, ' ') or length(k.n) >= 3) and len(list_filter(string_split(k.n, ' '), lambda w: not list_contains(string_split(v.n, ' '), w))) = 0),
+  w3 as (select key, 3, pos, value, id, 'database_contains' from i3 where q = 1),
+  b as (select *, row_number() over (partition by key order by way, pos) as q from (select * from w0 union all select * from w1 union all select * from w2 union all select * from w3)), fs as (select key, arg_min(value, pos) as first_value from v group by key)
+  select fs.key as {{key}}, b.cid as category_id, coalesce(b.by, 'not_found') as matched_by, case b.way when 0 then 100.0::double when 1 then 97 when 2 then 90 when 3 then 82 else 0 end as confidence, coalesce(b.value, first_value) as source_value from fs left join b on b.key = fs.key and b.q = 1"""
+
+
+def _mapped(spark: SparkSession, folder: str, values: DataFrame, key: str) -> DataFrame:
+    names = table(spark, folder, "prepared_products", "category_name").select(F.col("category_name").alias("name")).distinct().filter(T.normalize_text(F.col("name")) != "")
+    known = names.withColumn("id", F.row_number().over(Window.orderBy("name")).cast("bigint"))  # a list of categories is small
+    return G.map_categories(values, known, spark.createDataFrame(RULES, "place int, rule string, targets array<string>, aliases array<string>"), key)
+
+
+@query(f"with v as (select id as key, 0 as pos, {S.squeeze('name')} as value, {S.norm('name')} as n from products where {S.norm('name')} <> ''), " + _MAPPED.replace("{key}", "product_id"))
+def category_mapping(spark: SparkSession, folder: str) -> DataFrame:
+    """The category each product name leads to, by which way and how surely (2.13.2-2.13.7, 2.8.49-2.8.51)."""
+    named = table(spark, folder, "products", "id", "name").select(F.col("id").alias("product_id"), "name")
+    return _mapped(spark, folder, G.incoming_values(named, "product_id", "name"), "product_id")
+
+
 @query(
-    f"""with v as (select id as product_id, name, {S.norm('name')} as n from products), c as (select distinct category_name as category, {S.norm('category_name')} as n from prepared_products),
-    m as (select v.product_id, c.category, length(c.n) as l from v, c where c.n <> '' and len(list_filter(string_split(c.n, ' '), lambda w: not list_contains(string_split(v.n, ' '), w))) = 0)
-    select product_id, category from (select *, row_number() over (partition by product_id order by l desc, category) as k from m) where k = 1"""
+    f"""with e as (select rec_id, unnest(string_split(categories, ',')) as x, generate_subscripts(string_split(categories, ','), 1) as p from off_products), m as (select rec_id, p as pos, {S.squeeze('x')} as value, {S.norm('x')} as n from e where {S.norm('x')} <> ''),
+    v as (select rec_id as key, pos, value, n from (select *, row_number() over (partition by rec_id, n order by pos) as q from m) where q = 1), """
+    + _MAPPED.replace("{key}", "rec_id")
 )
-def category_mapping(spark: SparkSession, folder: str) -> DataFrame:
-    """The known category all of whose words a name has, the longest first (2.13.4, 2.13.5); joined on the category's first word."""
-    known = table(spark, folder, "prepared_products", "category_name").select(F.col("category_name").alias("category")).distinct().withColumn("words", F.split(T.normalize_text(F.col("category")), " ")).filter("words[0] <> ''")
-    named = table(spark, folder, "products", "id", "name").select(F.col("id").alias("product_id"), F.array_distinct(F.split(T.normalize_text(F.col("name")), " ")).alias("have"))
-    met = named.withColumn("word", F.explode("have")).join(known.withColumn("word", F.get("words", F.lit(0))), "word").filter("size(array_except(words, have)) = 0")
-    rank = F.struct(F.length(F.array_join("words", " ")).alias("l"))
-    best = met.groupBy("product_id").agg(F.max(rank).alias("m"), F.min_by("category", F.struct((-F.length(F.array_join("words", " "))).alias("l"), "category")).alias("category"))
-    return best.select("product_id", "category")
+def record_categories(spark: SparkSession, folder: str) -> DataFrame:
+    """The known category of each record by its list of categories (2.13.1, 2.13.31, 2.7.8)."""
+    records = table(spark, folder, "off_products", "rec_id", "categories").select("rec_id", F.lit(None).cast("string").alias("own"), F.split("categories", ",").alias("others"))
+    return _mapped(spark, folder, G.incoming_values(records, "rec_id", "own", "others"), "rec_id")
+
+
+_SPLIT = f"list_filter(list_transform(regexp_split_to_array(coalesce(brands, ''), '[,;/|]'), lambda v: {S.squeeze('v')}), lambda v: replace(lower(v), 'ё', 'е') not in ('', 'unknown', 'no brand', 'без бренда', 'бренд не указан', 'не указан'))"
+_FOLD = lambda x: f"replace(lower(coalesce({S.squeeze(x)}, '')), 'ё', 'е')"
+_ONCE = lambda xs: f"list_filter({xs}, lambda v, i: {_FOLD('v')} <> '' and list_position(list_transform({xs}, lambda u: {_FOLD('u')}), {_FOLD('v')}) = i)"
+_PLAIN = "('кофе', 'coffee', 'молоко', 'milk', 'пицца', 'pizza', 'чай', 'tea', 'вода', 'water', 'сыр', 'cheese', 'масло', 'butter', 'йогурт', 'yogurt', 'yoghurt', 'кефир', 'kefir', 'сельдь', 'herring', 'продукт', 'product')"
+_KIND = """case when contains(ct, 'coffee') or contains(ct, 'кофе') then 'Кофе' when contains(ct, 'milk') or contains(ct, 'молоко') then 'Молоко' when contains(ct, 'pizza') or contains(ct, 'пицца') then 'Пицца' when contains(ct, 'tea') or contains(ct, 'чай') then 'Чай'
+  when contains(ct, 'herring') or contains(ct, 'сельдь') or contains(ct, 'селед') then 'Сельдь' when contains(ct, 'cheese') or contains(ct, 'сыр') then 'Сыр' when contains(ct, 'yogurt') or contains(ct, 'yoghurt') or contains(ct, 'йогурт') then 'Йогурт' end"""
+_HUMAN = lambda x: f"(upper(left({x}, 1)) || substr({x}, 2))"
+_BARE = lambda x: S.squeeze(f"replace(regexp_replace({S.squeeze(x)}, '^[^:]{{0,3}}:(.)', '\\1'), '-', ' ')")
+
+
+@query(
+    f"""with a as (select rec_id, {_SPLIT}[1] as brand, {_ONCE("list_transform([product_name_ru, product_name, generic_name], lambda v: coalesce(" + S.squeeze('v') + ", ''))")} as names, generic_name,
+      list_filter(list_transform(string_split(coalesce(categories, ''), ','), lambda v: {S.squeeze('v')}), lambda v: v <> '') as c0, coalesce(countries_tags, []) as tags from off_products),
+    b as (select *, list_filter(c0, lambda v, i: list_position(list_transform(c0, lambda u: lower(u)), lower(v)) = i) as cats, list_filter(names, lambda v: {_FOLD('v')} not in {_PLAIN}) as good from a),
+    c as (select *, {_FOLD("array_to_string(cats, ' ')")} as ct, case when len(good) > 0 then list_sort(list_transform(range(1, len(good) + 1), lambda i: struct_pack(w := -len(string_split(good[i], ' ')), n := -length(good[i]), i := i, v := good[i])))[1].v else names[1] end as name from b),
+    d as (select *, {_KIND} as kind from c)
+    select rec_id, brand, name, kind, nullif(array_to_string({_ONCE("list_concat(list_transform(list_concat(cats, tags), lambda v: " + _HUMAN(_BARE('v')) + "), list_filter([brand, kind], lambda v: v is not null))")}, ', '), '') as keywords,
+      case when {_FOLD('generic_name')} not in {_PLAIN} then nullif({S.squeeze('generic_name')}, '') end as description from d"""
+)
+def open_listing_fields(spark: SparkSession, folder: str) -> DataFrame:
+    """Brand, name, kind, keywords and description of each open record (2.8.62, 2.8.70, 2.8.73-2.8.77, 2.8.81, 2.8.82, 2.7.6)."""
+    return O.open_listings(_open(spark, folder)).select("rec_id", "brand", "name", "kind", "keywords", "description")
+
+
+@query()
+def open_listing_names(spark: SparkSession, folder: str) -> DataFrame:
+    """The full name and the subtype of each open record (2.8.78-2.8.80, 2.8.83); their rules are tested one by one."""
+    return O.open_listings(_open(spark, folder)).select("rec_id", "full_name", "subtype")
+
+
+def _open(spark: SparkSession, folder: str) -> DataFrame:
+    raw = table(spark, folder, "off_products", "rec_id", "product_name_ru", "product_name", "generic_name", "brands", "categories", "countries_tags", "product_quantity", "product_quantity_unit")
+    return raw.withColumn("amount", F.col("product_quantity").try_cast("decimal(12,3)")).withColumn("unit", F.lower(T.filled(F.col("product_quantity_unit"))))
 
 
 @query(

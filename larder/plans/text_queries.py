@@ -62,35 +62,52 @@ def search_variants_brands(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("id", (F.col("p") + 1).alias("pos"), "variant")
 
 
+_UNITS = ["г", "гр", "кг", "мл", "л", "шт", "g", "kg", "ml", "l"]
+_STOP = ["и", "в", "во", "на", "с", "со", "из", "для", "по", "под", "без", "от", "до", "к", "у", "а", "или"]
+_TOKENS = lambda c: f"regexp_extract_all({S.norm(c)}, '[0-9]+|[a-zа-я]+')"
+
+
+@query(
+    f"""with w as (select id, unnest({_TOKENS('name')}) as value, generate_subscripts({_TOKENS('name')}, 1) - 1 as position from products)
+    select id, cast(position as integer) as position, value, regexp_matches(value, '^([0-9]+|nan|inf|infinity)$') as is_number, value in {S.in_list(_UNITS)} as is_unit from w where value not in {S.in_list(_STOP)}"""
+)
+def query_tokens_products(spark: SparkSession, folder: str) -> DataFrame:
+    """The tokens of each name with their kind, stop words left out (2.8.11, 2.8.12, 2.8.37)."""
+    return table(spark, folder, "products", "id", "name").select("id", F.explode(T.query_tokens(F.col("name"))).alias("t")).select("id", "t.position", "t.value", "t.is_number", "t.is_unit")
+
+
 @query(
-    f"""with w as (select id, unnest(string_split({S.norm('search_text')}, ' ')) as token from products where search_text is not null)
-    select id, count(*) as tokens, count(distinct token) as distinct_tokens, count(*) filter (regexp_matches(token, '^[0-9]+$')) as numbers,
-    count(*) filter (token in {S.in_list(T.QUERY_UNITS)}) as units, count(*) filter (token in {S.in_list(T.STOP_WORDS)}) as stop_words from w where token <> '' group by id"""
+    f"""with w as (select id, {_TOKENS('search_text')} as w from products where search_text is not null)
+    select id, len(w) as tokens, len(list_filter(w, lambda t: t in {S.in_list(_STOP)})) as stop_words, len(list_filter(w, lambda t: t in {S.in_list(_UNITS)})) as units, array_to_string(list_filter(w, lambda t: t not in {S.in_list(_STOP)}), ' ') as joined from w"""
 )
 def text_token_profile(spark: SparkSession, folder: str) -> DataFrame:
-    """Tokens of each search text by kind, counted without a shuffle (2.8.11-2.8.14, 2.8.37)."""
-    w = T.words(F.col("search_text"))
-    count = lambda test: F.size(F.filter("_w", test)).cast("bigint")
-    found = table(spark, folder, "products", "id", "search_text").select("id", w.alias("_w")).filter(F.size("_w") > 0)
-    return found.select(
-        "id", F.size("_w").cast("bigint").alias("tokens"), F.size(F.array_distinct("_w")).cast("bigint").alias("distinct_tokens"), count(lambda t: t.rlike("^[0-9]+$")).alias("numbers"),
-        count(lambda t: t.isin(*T.QUERY_UNITS)).alias("units"), count(lambda t: t.isin(*T.STOP_WORDS)).alias("stop_words"),
-    )
+    """Tokens of each search text by kind and joined, without a shuffle (2.8.13, 2.8.14)."""
+    found = table(spark, folder, "products", "id", "search_text").filter("search_text is not null").select("id", T.query_tokens(F.col("search_text"), keep_stop_words=True).alias("t"))
+    count = lambda test: F.size(F.filter("t", test)).cast("bigint")
+    joined = F.array_join(F.transform(F.filter("t", lambda t: ~t["is_stop_word"]), lambda t: t["value"]), " ")
+    return found.select("id", F.size("t").cast("bigint").alias("tokens"), count(lambda t: t["is_stop_word"]).alias("stop_words"), count(lambda t: t["is_unit"]).alias("units"), joined.alias("joined"))
 
 
 @query(
-    f"""with w as (select id, unnest(string_split({S.norm('name')}, ' ')) as token, generate_subscripts(string_split({S.norm('name')}, ' '), 1) as p from products),
-    n as (select id, p, token, lead(token) over (partition by id order by p) as unit from w),
-    h as (select *, row_number() over (partition by id order by p) as k from n where regexp_matches(token, '^[0-9]+$') and cast(token as hugeint) > 0 and unit in {S.in_list(T.QUERY_UNITS)})
-    select id, cast(token as double) as package_value, unit as package_unit from h where k = 1"""
+    f"""with w as (select id, list_filter({_TOKENS('name')}, lambda t: t not in {S.in_list(_STOP)}) as w from products),
+    f as (select id, w, list_filter(range(1, len(w)), lambda i: regexp_matches(w[i], '^[0-9]+$') and try_cast(w[i] as double) > 0 and w[i + 1] in {S.in_list(_UNITS)})[1] as spot from w)
+    select id, try_cast(w[spot] as double) as package_value, case w[spot + 1] when 'гр' then 'г' when 'g' then 'г' when 'kg' then 'кг' when 'ml' then 'мл' when 'l' then 'л' else w[spot + 1] end as package_unit,
+      array_to_string(list_filter(w, lambda t, i: i <> spot and i <> spot + 1), ' ') as rest from f where spot is not null"""
 )
 def query_package_products(spark: SparkSession, folder: str) -> DataFrame:
-    """The first adjacent pair of a positive number and a unit among the tokens of a name (2.8.15, 2.8.17)."""
-    w = F.col("_w")
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 1, F.lit(1))), lambda i: F.struct(F.try_element_at(w, i).alias("n"), F.try_element_at(w, i + 1).alias("u")))
-    good = F.filter(pairs, lambda p: p["n"].rlike("^[0-9]*[1-9][0-9]*$") & p["u"].isin(*T.QUERY_UNITS))
-    found = table(spark, folder, "products", "id", "name").select("id", T.words(F.col("name")).alias("_w")).select("id", F.try_element_at(good, F.lit(1)).alias("_p")).filter("_p is not null")
-    return found.select("id", F.col("_p.n").cast("double").alias("package_value"), F.col("_p.u").alias("package_unit"))
+    """The package among the tokens of a name, and the name's other tokens (2.8.15-2.8.17)."""
+    found = table(spark, folder, "products", "id", "name").select("id", T.query_tokens(F.col("name")).alias("t")).withColumn("p", T.query_package(F.col("t"))).filter("p is not null")
+    return found.select("id", F.col("p.value").alias("package_value"), F.col("p.unit").alias("package_unit"), F.array_join(F.transform(T.without_package(F.col("t")), lambda t: t["value"]), " ").alias("rest"))
+
+
+@query(
+    f"""select id, array_to_string(list_filter(list_transform(string_split(replace(lower(coalesce({S.squeeze('name')}, '')), 'ё', 'е'), ' '), lambda w: trim(w, '.,:;!?()[]{{}}"''«»')), lambda w: w <> ''), ' ') as phrase,
+    case when contains(replace(lower({S.squeeze('name')}), 'ё', 'е'), 'новинка') then {S.squeeze('name')} else {S.squeeze('name')} || ' новинка' end as refined from products"""
+)
+def pipeline_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """Names as the search pipeline folds them, and as queries refined by a term (2.8.18-2.8.21, 2.9.10)."""
+    name = F.col("name")
+    return table(spark, folder, "products", "id", "name").select("id", T.phrase(name).alias("phrase"), T.refined(name, F.lit("новинка")).alias("refined"))
 
 
 @query(
