@@ -35,17 +35,36 @@ CANONICAL = [
 ]
 #: Most words of a family name.
 FAMILY_WORDS = 5
-#: Facets of a kind of product: (kind, facet, option, words, one of which a listing has).
+#: Words of a query that name a kind of product with facets.
+FACET_KINDS = {"молоко": ["молоко", "milk"], "кофе": ["кофе", "coffee", "кофейный"], "сельдь": ["сельдь", "селедка", "herring"]}
+#: Facets of a kind of product: (kind, facet, priority, option, title, term of a refined query, terms one of which a listing has).
 FACETS = [
-    ("молоко", "processing", "pasteurized", ["пастеризованное", "пастеризованный", "пастеризованная"]),
-    ("молоко", "processing", "ultra_pasteurized", ["ультрапастеризованное", "ультрапастеризованный", "ультрапастеризованная", "uht"]),
-    ("молоко", "processing", "baked", ["топленое", "топленый", "топленая"]),
-    ("молоко", "special", "lactose_free", ["безлактозное", "безлактозный"]),
-    ("кофе", "form", "instant", ["растворимый", "растворимое"]),
-    ("кофе", "form", "ground", ["молотый", "молотое"]),
-    ("кофе", "form", "beans", ["зернах", "зерновой"]),
-    ("кофе", "preparation", "decaf", ["кофеина", "декаф"]),
+    ("молоко", "processing", 10, "pasteurized", "Пастеризованное", "пастеризованное", ["пастеризованное", "пастеризованный", "пастеризованная"]),
+    ("молоко", "processing", 10, "ultra_pasteurized", "Ультрапастеризованное", "ультрапастеризованное", ["ультрапастеризованное", "ультрапастеризованный", "ультрапастеризованная", "ультравысокотемпературно", "ультравысокотемпературное", "uht"]),
+    ("молоко", "processing", 10, "baked", "Топлёное", "топлёное", ["топленое", "топленый", "топленая"]),
+    ("молоко", "product_kind", 20, "drinking", "Питьевое", "питьевое", ["молоко питьевое", "питьевое молоко"]),
+    ("молоко", "product_kind", 20, "condensed", "Сгущённое", "сгущённое", ["сгущенное", "сгущенка", "condensed milk"]),
+    ("молоко", "product_kind", 20, "dry", "Сухое", "сухое", ["сухое молоко", "молоко сухое", "milk powder"]),
+    ("молоко", "product_kind", 20, "plant", "Растительное", "растительное", ["растительное молоко", "овсяное молоко", "соевое молоко", "кокосовое молоко", "миндальное молоко", "oat milk", "soy milk", "coconut milk", "almond milk"]),
+    ("молоко", "special", 30, "lactose_free", "Безлактозное", "безлактозное", ["безлактозное", "без лактозы", "низколактозное", "low lactose", "lactose free"]),
+    ("кофе", "form", 10, "instant", "Растворимый", "растворимый", ["растворимый кофе", "кофе растворимый", "instant coffee"]),
+    ("кофе", "form", 10, "ground", "Молотый", "молотый", ["молотый кофе", "кофе молотый", "ground coffee"]),
+    ("кофе", "form", 10, "beans", "В зёрнах", "в зёрнах", ["кофе в зернах", "зерновой кофе", "кофе зерновой", "coffee beans"]),
+    ("кофе", "form", 10, "capsules", "В капсулах", "в капсулах", ["кофе в капсулах", "кофейные капсулы", "coffee capsules"]),
+    ("кофе", "form", 10, "drip", "Дрип-пакеты", "дрип-пакеты", ["дрип пакет", "дрип пакеты", "drip coffee", "coffee drip"]),
+    ("кофе", "preparation", 20, "three_in_one", "3 в 1", "3 в 1", ["3 в 1", "три в одном", "3in1"]),
+    ("кофе", "preparation", 20, "decaf", "Без кофеина", "без кофеина", ["без кофеина", "декофеинизированный", "декофеинизированное", "decaf"]),
+    ("кофе", "preparation", 20, "sublimated", "Сублимированный", "сублимированный", ["сублимированный", "сублимированное", "freeze dried"]),
+    ("сельдь", "product_kind", 10, "fillet", "Филе", "филе", ["филе сельди", "сельдь филе", "филе кусочки"]),
+    ("сельдь", "product_kind", 10, "preserves", "Пресервы", "пресервы", ["пресервы", "пресерв"]),
+    ("сельдь", "product_kind", 10, "pieces", "Кусочки", "кусочки", ["кусочки сельди", "сельдь кусочки", "филе кусочки"]),
+    ("сельдь", "preparation", 20, "lightly_salted", "Слабосолёная", "слабосолёная", ["слабосоленая", "слабосоленый", "малосольная"]),
+    ("сельдь", "preparation", 20, "spicy_salted", "Пряного посола", "пряного посола", ["пряного посола", "пряный посол"]),
+    ("сельдь", "preparation", 20, "in_oil", "В масле", "в масле", ["в масле", "масляной заливке", "масляная заливка"]),
+    ("сельдь", "preparation", 20, "with_onion", "С луком", "с луком", ["с луком", "луковая заливка"]),
 ]
+#: Most options of a group, the priority of the percentages, and a percentage of fat in a text.
+OPTIONS, FAT_PRIORITY, FAT = 5, 15, r"(?<![0-9])([0-9]{1,2}(?:[.,][0-9]{1,2})?)\s*%"
 #: Words that give no intent.
 INTENT_STOP = "и в во на с со из для по под без не или от до к у а я это продукт продукты товар товары бренд упаковка г гр кг мл л шт".split()
 
@@ -100,20 +119,69 @@ def assign_families(listings: DataFrame) -> DataFrame:
     return named.join(ids, ["family", "category_id"]).select("id", "family", "family_id")
 
 
-def facet_counts(listings: DataFrame) -> DataFrame:
-    """(kind, facet, option, n, candidates, usefulness) over the listings of each kind; ``listings`` has a normal-form ``text``.
-
-    Options are tested in the scan by constant expressions and counted after a map-side aggregation of at most as many rows
-    as there are options."""
-    words = F.split("text", " ")
-    kinds = sorted({k for k, *_ in FACETS})
-    marked = listings.select(words.alias("_w"))
-    kind_rows = [F.when(F.array_contains("_w", k), F.struct(F.lit(k).alias("kind"), F.lit(None).cast("string").alias("facet"), F.lit(None).cast("string").alias("option"))) for k in kinds]
-    option_rows = [F.when(F.array_contains("_w", k) & F.arrays_overlap("_w", F.array(*[F.lit(w) for w in ws])), F.struct(F.lit(k).alias("kind"), F.lit(f).alias("facet"), F.lit(o).alias("option"))) for k, f, o, ws in FACETS]
-    counted = marked.select(F.explode(F.array_compact(F.array(*kind_rows, *option_rows))).alias("r")).select("r.*").groupBy("kind", "facet", "option").agg(F.count(F.lit(1)).alias("n"))
-    total = counted.filter("facet is null").select("kind", F.col("n").alias("candidates"))
-    met = counted.filter("facet is not null").join(F.broadcast(total), "kind")
-    return met.withColumn("usefulness", usefulness(F.col("n"), F.col("candidates")))
+def has_term(text: Column, term: str) -> Column:
+    """Whether a normal-form text holds a term: several words as they stand, a single one as a word of its own."""
+    return F.contains(text, F.lit(term)) if " " in term else F.array_contains(F.split(text, " "), term)
+
+
+def _any(text: Column, terms: list[str]) -> Column:
+    out = has_term(text, terms[0])
+    for t in terms[1:]:
+        out = out | has_term(text, t)
+    return out
+
+
+def facet_kind(query: Column) -> Column:
+    """The kind of product with facets that a query names, null if none."""
+    text = T.normalize_text(query)
+    return F.coalesce(*[F.when(_any(text, names), F.lit(kind)) for kind, names in FACET_KINDS.items()])
+
+
+def facet_texts(listings: DataFrame) -> DataFrame:
+    """(id, text, raw): all text fields of a listing in normal form, and in lower case with their signs."""
+    fields = [c for c in ("name", "normalized_name", "subtype", "description", "keywords", "search_text", "brand", "category") if c in listings.columns]
+    joined = lambda f: F.concat_ws(" ", *[F.nullif(f(F.col(c)), F.lit("")) for c in fields])
+    return listings.select("id", joined(T.normalize_text).alias("text"), joined(lambda c: F.translate(F.lower(T.squeeze(c)), "ё", "е")).alias("raw"))
+
+
+def facet_options(hits: DataFrame) -> DataFrame:
+    """(query_id, facet, priority, option, title, refined, n, candidates, usefulness, place) of the hits (query_id, query, text, raw) of each query.
+
+    Options that the query names already, that hold for fewer than two hits or for nearly all, are none; each facet keeps its
+    ``OPTIONS`` most useful and needs two. Milk also has its percentages up to 20 as a facet. Options are tested in the scan by
+    constant expressions and counted after a map-side aggregation; a query without a kind gives nothing."""
+    kinds = hits.withColumn("_kind", facet_kind(F.col("query"))).filter("_kind is not null")
+    asked = T.normalize_text(F.col("query"))
+    row = lambda facet, priority, option, title, term: F.struct(F.lit(facet).alias("facet"), F.lit(priority).alias("priority"), option.alias("option"), title.alias("title"), term.alias("term"))
+    told = [F.when((F.col("_kind") == k) & ~_any(asked, [T_ for T_ in dict.fromkeys([_plain(term), *terms])]) & _any(F.col("text"), terms), row(f, p, F.lit(o), F.lit(title), F.lit(term))) for k, f, p, o, title, term, terms in FACETS]
+    values = F.array_distinct(F.transform(F.regexp_extract_all("raw", F.lit(FAT), F.lit(1)), lambda v: F.replace(v, F.lit(","), F.lit(".")).cast("double")))
+    shown = lambda v: F.regexp_replace(v.cast("decimal(9,4)").cast("string"), r"\.?0+$", "")
+    fats = F.transform(F.filter(values, lambda v: v.between(0, 20)), lambda v: row("fat_percent", FAT_PRIORITY, F.concat(F.lit("fat_"), F.replace(shown(v), F.lit("."), F.lit("_"))), F.concat(F.replace(shown(v), F.lit("."), F.lit(",")), F.lit("%")), F.concat(F.replace(shown(v), F.lit("."), F.lit(",")), F.lit("%"))))
+    fats = F.when((F.col("_kind") == "молоко") & ~F.translate(F.lower("query"), "ё", "е").rlike(FAT), fats).otherwise(F.array().cast(f"array<{_ROW}>"))
+    each = kinds.select("query_id", "query", F.explode(F.array_append(F.array_distinct(F.concat(F.array_compact(F.array(*told)), fats)), F.lit(None).cast(_ROW))).alias("o"))
+    counted = each.select("query_id", "query", "o.*").groupBy("query_id", "query", "facet", "priority", "option", "title", "term").agg(F.count(F.lit(1)).alias("n"))
+    total = counted.filter("facet is null").select("query_id", F.col("n").alias("candidates"))
+    met = counted.filter("facet is not null").join(small_broadcast(total), "query_id").withColumn("usefulness", usefulness(F.col("n"), F.col("candidates"))).filter("usefulness > 0")
+    fat = F.when(F.col("facet") == "fat_percent", F.abs(F.regexp_replace(F.replace("title", F.lit(","), F.lit(".")), "%", "").cast("double") - 3.2))
+    of_facet = Window.partitionBy("query_id", "facet")
+    ranked = met.withColumn("place", F.row_number().over(of_facet.orderBy(F.desc("usefulness"), F.desc("n"), fat, F.desc("title")))).filter(F.col("place") <= OPTIONS)
+    kept = ranked.withColumn("_k", F.count(F.lit(1)).over(of_facet)).filter("_k >= 2")
+    return kept.select("query_id", "facet", "priority", "option", "title", T.refined(F.col("query"), F.col("term")).alias("refined"), "n", "candidates", "usefulness", "place")
+
+
+_ROW = "struct<facet:string,priority:int,option:string,title:string,term:string>"
+
+
+def _plain(term: str) -> str:
+    """A term in normal form."""
+    return " ".join("".join(c if c.isalnum() else " " for c in term.lower().replace("ё", "е")).split())
+
+
+def next_group(options: DataFrame) -> DataFrame:
+    """The options of the one facet of each query to offer next: by priority, then average usefulness, hits and name."""
+    groups = options.groupBy("query_id", "facet").agg(F.avg("usefulness").alias("a"), F.sum("n").alias("t"), F.min("priority").alias("p"))
+    best = groups.groupBy("query_id").agg(F.min_by("facet", F.struct("p", (-F.col("a")).alias("a"), (-F.col("t")).alias("t"), "facet")).alias("facet"))
+    return options.join(small_broadcast(best), ["query_id", "facet"])
 
 
 def usefulness(n: Column, candidates: Column) -> Column:

@@ -40,6 +40,19 @@ def merged_cards(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("product_id", *fields, "search_text", F.array_join("changed", ",").alias("changed"), F.array_join("conflicts", ",").alias("conflicts"))
 
 
+def consolidated_cards(spark: SparkSession, folder: str) -> DataFrame:
+    """Surviving listings of the safe pairs with the better values of their first duplicate (2.12.32, 2.12.35)."""
+    fields = ["name", "brand", "barcode", "package_value", "package_unit", "image_url", "keywords"]
+    brands = table(spark, folder, "brands", "id", "name").select(F.col("id").alias("brand_id"), F.col("name").alias("brand"))
+    listed = table(spark, folder, "products").join(small_broadcast(brands), "brand_id", "left")
+    safe = table(spark, folder, "duplicate_candidates", "left_id", "right_id", "classification").filter("left_id <> right_id and classification = 'AUTO_SAFE'")
+    pairs = safe.groupBy(F.least("left_id", "right_id").alias("product_id")).agg(F.min(F.greatest("left_id", "right_id")).alias("rec_id"))
+    new = listed.select(F.col("id").alias("rec_id"), *[F.col(c).alias(f"new_{c}") for c in fields])
+    old = listed.select(F.col("id").alias("product_id"), *fields)
+    out = M.merge_fields(pairs.join(new, "rec_id").join(old, "product_id"), consolidating=True)
+    return out.select("product_id", *fields, F.array_join("changed", ",").alias("changed"))
+
+
 def created_records(spark: SparkSession, folder: str) -> DataFrame:
     """Prepared records that match no listing and so become new ones, with the fields they come with (2.12.30, 2.12.45)."""
     left = _incoming(spark, folder).join(match_cascade(spark, folder).select("rec_id"), "rec_id", "left_anti").withColumnRenamed("rec_id", "id").filter(F.trim("name") != "")
@@ -83,8 +96,7 @@ _PIECES = lambda c: f"case when len(list_filter(string_split(replace({c}, ';', '
 _PARTS = f"list_filter(list_concat({_PIECES('o.keywords')}, {_PIECES('r.keywords')}), lambda v: {S.norm('v')} <> '')"
 _KEYWORDS = f"""case when {Z.filled('o.keywords')} is not null and {Z.filled('r.keywords')} is not null then nullif(array_to_string(list_filter({_PARTS}, lambda v, i: list_position(list_transform({_PARTS}, lambda u: {S.norm('u')}), {S.norm('v')}) = i), ', '), '')
   else coalesce({Z.filled('o.keywords')}, {Z.filled('r.keywords')}, o.keywords) end"""
-_MERGED = f"""with {_MATCHED}, y as (select product_id, min(rec_id) as rec_id from x group by product_id),
-  m as (select o.id as product_id, o.subtype, o.name as n0, o.brand as b0, o.barcode as c0, o.package_value as v0, o.package_unit as u0, o.image_url as i0, o.keywords as k0, case when {_TAKES} then {S.squeeze('r.name')} else o.name end as name,
+_TAIL = f"""m as (select o.id as product_id, o.subtype, o.name as n0, o.brand as b0, o.barcode as c0, o.package_value as v0, o.package_unit as u0, o.image_url as i0, o.keywords as k0, case when {_TAKES} then {S.squeeze('r.name')} else o.name end as name,
     case when o.nobrand and not r.nobrand then r.brand else o.brand end as brand, case when o.code is null and r.code is not null then r.code else o.barcode end as barcode,
     case when coalesce({Z.compatible('o', 'r')}, true) and o.package_value is null and r.package_value > 0 then r.package_value else o.package_value end as package_value,
     case when coalesce({Z.compatible('o', 'r')}, true) and coalesce(o.package_unit, '') = '' and {Z.unit('r.package_unit')} is not null then {Z.unit('r.package_unit')} else o.package_unit end as package_unit,
@@ -95,11 +107,16 @@ _MERGED = f"""with {_MATCHED}, y as (select product_id, min(rec_id) as rec_id fr
     array_to_string(list_filter([{', '.join(S.norm(c if c != 'package_value' else 'cast(package_value as varchar)') for c in ('name', 'brand', 'subtype', 'keywords', 'package_value', 'package_unit', 'barcode'))}], lambda v: v is not null and v <> ''), ' ') as search_text,
     concat_ws(',', case when name is distinct from n0 then 'name' end, case when brand is distinct from b0 then 'brand' end, case when barcode is distinct from c0 then 'barcode' end, case when package_value is distinct from v0 then 'package_value' end,
       case when package_unit is distinct from u0 then 'package_unit' end, case when image_url is distinct from i0 then 'image_url' end, case when keywords is distinct from k0 then 'keywords' end) as changed from m"""
+_MERGED = f"with {_MATCHED}, y as (select product_id, min(rec_id) as rec_id from x group by product_id), {_TAIL}"
+_ALL = f"(select p.*, b.name as brand, p.id as rec_id, b.name as brand_name, {Z.unit('package_unit')} as unit from products p left join brands b on b.id = p.brand_id)"
+_JOINED = f"""with o as (select {_SHAPE('id', 'brand')}, subtype from {_ALL}), r as (select {_SHAPE('rec_id', 'brand_name')}, subtype as subtype_2 from {_ALL}),
+  y as (select least(left_id, right_id) as product_id, min(greatest(left_id, right_id)) as rec_id from duplicate_candidates where left_id <> right_id and classification = 'AUTO_SAFE' group by 1), {_TAIL}"""
 
-QUERIES = {"match_cascade": match_cascade, "merged_cards": merged_cards, "created_records": created_records, "new_brands": new_brands, "linked_sources": linked_sources}
+QUERIES = {"match_cascade": match_cascade, "merged_cards": merged_cards, "consolidated_cards": consolidated_cards, "created_records": created_records, "new_brands": new_brands, "linked_sources": linked_sources}
 SQL = {
     "match_cascade": f"with {_MATCHED} select rec_id, product_id, stage, ['source_link', 'barcode', 'brand_and_name', 'brand_and_similar_name', 'name'][stage] as match_type from x",
     "merged_cards": _MERGED,
+    "consolidated_cards": f"select * exclude (conflicts, search_text) from ({_JOINED})",
     "created_records": f"""with {_MATCHED} select rec_id as id, concat_ws(',', 'name', 'brand', 'category', case when trim(barcode) <> '' then 'barcode' end, case when package_value is not null then 'package_value' end, case when trim(package_unit) <> '' then 'package_unit' end,
       case when trim(image_url) <> '' then 'image_url' end, case when trim(keywords) <> '' then 'keywords' end) as fields from i where rec_id not in (select rec_id from x) and trim(name) <> ''""",
     "new_brands": f"""with f as (select {S.squeeze('brand_name')} as name, {S.norm('brand_name')} as normalized_name from prepared_products), k as (select {S.norm('name')} as n from brands)

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from larder.functions import text as T
 from larder.operators import families as A
 from larder.operators import resolution as R
+from larder.operators import search as Q
 from larder.plans import identity_sql as Z
 from larder.plans import sqltext as S
+from larder.plans.search_queries import RATINGS_SQL, ratings, strict_sql
 from larder.runtime import small_broadcast, table
 
 QUERIES, SQL = {}, {}
@@ -90,31 +92,46 @@ def family_sizes(spark: SparkSession, folder: str) -> DataFrame:
     return met.groupBy("family", "category_id").agg(F.count(F.lit(1)).alias("products"), F.min("id").alias("family_id")).filter("products > 1")
 
 
-_FACET_ROWS = ", ".join(f"('{k}', '{f}', '{o}', [{', '.join(repr(w) for w in ws)}])" for k, f, o, ws in A.FACETS)
+FACET_QUERIES = [(0, "молоко"), (1, "кофе"), (2, "сельдь"), (3, "молоко топлёное"), (4, "milk 3,2%"), (5, "сыр"), (6, "coffee")]
+_FACET_ASKED = "(values " + ", ".join(f"({i}, '{q}')" for i, q in FACET_QUERIES) + ") as asked(query_id, query)"
+_PARTS = lambda f: "concat_ws(' ', " + ", ".join(f"nullif({f(c)}, '')" for c in ("p.name", "p.normalized_name", "p.subtype", "p.keywords", "p.search_text", "b.name")) + ")"
+_RAW = lambda c: f"replace(lower({S.squeeze(c)}), 'ё', 'е')"
+_FACET_VALUES = ", ".join(f"('{k}', '{f}', {p}, '{o}', '{t}', '{m}', {list(dict.fromkeys([A._plain(m), *ws]))!r}, {ws!r})" for k, f, p, o, t, m, ws in A.FACETS)
+_HOLDS = lambda text, terms: f"len(list_filter({terms}, lambda t: case when contains(t, ' ') then contains({text}, t) else list_contains(string_split({text}, ' '), t) end)) > 0"
+_USEFUL = "case when n < 2 or n / candidates >= 0.96 then 0.0 else greatest(1 - abs(n / candidates - 0.35), 0) * 0.45 + least(n / 12.0, 1) * 0.25 + (1 - n / candidates) * 0.30 end"
+_FACETS_SQL = f"""with hits as ({strict_sql(_FACET_ASKED, 200)}), o(kind, facet, priority, option, title, term, mine, terms) as (values {_FACET_VALUES}),
+  h as (select asked.query_id, asked.query, {S.norm('asked.query')} as q, {_PARTS(S.norm)} as text, {_PARTS(_RAW)} as raw from hits join {_FACET_ASKED} using (query_id) join products p on p.id = hits.id left join brands b on b.id = p.brand_id),
+  k as (select *, case when {_HOLDS('q', "['молоко', 'milk']")} then 'молоко' when {_HOLDS('q', "['кофе', 'coffee', 'кофейный']")} then 'кофе' when {_HOLDS('q', "['сельдь', 'селедка', 'herring']")} then 'сельдь' end as kind from h),
+  c as (select query_id, count(*) as candidates from k where kind is not null group by 1),
+  d as (select k.query_id, k.query, o.facet, o.priority, o.option, o.title, o.term, count(*) as n from k join o using (kind) where not ({_HOLDS('q', 'mine')}) and {_HOLDS('text', 'terms')} group by all),
+  g as (select query_id, query, unnest(list_distinct(list_transform(regexp_extract_all(raw, '(?:^|[^0-9])([0-9]{{1,2}}(?:[.,][0-9]{{1,2}})?)\\s*%', 1), lambda v: cast(replace(v, ',', '.') as double)))) as v from k where kind = 'молоко' and not regexp_matches(query, '[0-9]\\s*%')),
+  w as (select query_id, query, regexp_replace(cast(cast(v as decimal(9, 4)) as varchar), '\\.?0+$', '') as v from g where v between 0 and 20),
+  x as (select query_id, query, 'fat_percent' as facet, 15 as priority, 'fat_' || replace(v, '.', '_') as option, replace(v, '.', ',') || '%' as title, replace(v, '.', ',') || '%' as term, count(*) as n from w group by all),
+  u as (select *, {_USEFUL} as usefulness from (select * from d union all select * from x) join c using (query_id)),
+  r as (select *, row_number() over (partition by query_id, facet order by usefulness desc, n desc, case when facet = 'fat_percent' then abs(cast(replace(replace(title, ',', '.'), '%', '') as double) - 3.2) end, title desc) as place from u where usefulness > 0),
+  f as (select *, count(*) over (partition by query_id, facet) as k from r where place <= 5)
+  select query_id, facet, priority, option, title, case when contains(replace(lower(query), 'ё', 'е'), replace(lower(term), 'ё', 'е')) then query else query || ' ' || term end as refined, n, candidates, round(usefulness, 6) as usefulness, cast(place as integer) as place from f where k >= 2"""
+
+
+def _facets(spark: SparkSession, folder: str) -> DataFrame:
+    asked = spark.createDataFrame(FACET_QUERIES, "query_id int, query string")
+    hits = Q.strict_search(asked, Q.catalogue(table(spark, folder, "products"), table(spark, folder, "brands", "id", "name", "aliases")), limit=200)
+    texts = A.facet_texts(_listings(spark, folder, "normalized_name", "keywords", "search_text"))
+    return A.facet_options(hits.join(F.broadcast(asked), "query_id").join(texts, "id").select("query_id", "query", "text", "raw"))
+
+
+@query(_FACETS_SQL)
+def facet_options(spark: SparkSession, folder: str) -> DataFrame:
+    """The options of each facet among the up to 200 hits of each query, percentages included (2.4.10, 2.4.11, 2.9.1-2.9.11, 2.9.13, 2.9.14, 2.8.108)."""
+    return _facets(spark, folder).withColumn("usefulness", F.round("usefulness", 6))
 
 
 @query(
-    f"""with t as (select string_split({S.norm('name')}, ' ') as w from products), o(kind, facet, option, words) as (values {_FACET_ROWS}),
-    k as (select kind, count(*) as candidates from (select distinct kind from o) kinds, t where list_contains(w, kind) group by kind),
-    n as (select o.kind, o.facet, o.option, count(*) as n from o, t where list_contains(w, o.kind) and len(list_intersect(w, o.words)) > 0 group by all)
-    select n.kind, n.facet, n.option, n.n, k.candidates, round(case when n.n < 2 or n.n / k.candidates >= 0.96 then 0.0 else greatest(1 - abs(n.n / k.candidates - 0.35), 0) * 0.45
-      + least(n.n / 12.0, 1) * 0.25 + (1 - n.n / k.candidates) * 0.30 end, 6) as usefulness from n join k using (kind)"""
+    f"with y as ({_FACETS_SQL}), z as (select query_id, facet, avg(usefulness) as a, sum(n) as t, min(priority) as p from y group by all), q as (select *, row_number() over (partition by query_id order by p, a desc, t desc, facet) as k from z) select y.* from y join q using (query_id, facet) where q.k = 1"
 )
-def facet_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Options of each facet among the listings of its kind with their usefulness (2.4.10, 2.9.2-2.9.9)."""
-    texts = table(spark, folder, "products", "name").select(T.normalize_text(F.col("name")).alias("text"))
-    return A.facet_counts(texts).withColumn("usefulness", F.round("usefulness", 6))
-
-
-@query(
-    f"""with p as (select unnest(list_distinct(list_transform(regexp_extract_all(lower(name), '([0-9]+(?:[.,][0-9]+)?)\\s*(?:%|проц)', 1), lambda v: replace(v, ',', '.')))) as v, category_id from products)
-    select category_id, cast(v as double) as fat, count(*) as listings from p where cast(v as double) between 0 and 20 group by category_id, cast(v as double)"""
-)
-def fat_facet(spark: SparkSession, folder: str) -> DataFrame:
-    """Percentages up to 20 in names by category: the numeric facet (2.4.11, 2.9.11)."""
-    values = F.array_distinct(F.transform(F.regexp_extract_all(F.lower("name"), F.lit(r"([0-9]+(?:[.,][0-9]+)?)\s*(?:%|проц)"), F.lit(1)), lambda v: F.replace(v, F.lit(","), F.lit("."))))
-    found = table(spark, folder, "products", "name", "category_id").select("category_id", F.explode(values).alias("fat"))
-    return found.withColumn("fat", F.col("fat").cast("double")).filter("fat between 0 and 20").groupBy("category_id", "fat").agg(F.count(F.lit(1)).alias("listings"))
+def next_facet(spark: SparkSession, folder: str) -> DataFrame:
+    """The one facet of each query to offer next (2.4.14, 2.4.15, 2.6.9)."""
+    return A.next_group(_facets(spark, folder)).withColumn("usefulness", F.round("usefulness", 6)).select("query_id", "facet", "priority", "option", "title", "refined", "n", "candidates", "usefulness", "place")
 
 
 _INTENT_QUERIES = ["молоко", "сыр", "йогурт", "шоколад"]
@@ -293,6 +310,29 @@ def consolidated_sources(spark: SparkSession, folder: str) -> DataFrame:
     return R.repoint(rows, _id_map(spark, folder), "product_id", ["product_id", "provider", "source_id"], F.col("id")).select("product_id", "provider", "source_id", "id")
 
 
+@query(
+    f"""with m as {_MAP}, r as (select user_id, coalesce(m.canonical_id, q.product_id) as product_id, q.product_id as was, score, m.canonical_id is null as own from ({RATINGS_SQL}) q left join m on m.id = q.product_id)
+    select user_id, product_id, was, score from (select *, row_number() over (partition by user_id, product_id order by own desc, was) as k from r) where k = 1"""
+)
+def consolidated_ratings(spark: SparkSession, folder: str) -> DataFrame:
+    """Ratings after consolidation: one of a user and product, the surviving product's own first (2.12.36, 2.12.37, 2.12.42)."""
+    rows = ratings(spark, folder).withColumn("was", F.col("product_id"))
+    ids = _id_map(spark, folder).select(F.col("id").cast("bigint").alias("id"), F.col("canonical_id").cast("bigint").alias("canonical_id"))
+    return R.repoint(rows, ids, "product_id", ["user_id", "product_id"], F.col("was")).select("user_id", "product_id", "was", "score")
+
+
+@query(
+    f"""with m as {_MAP}, a as (select id as product_id, trim(unnest(string_split(keywords, ','))) as alias, 0 as n from products where keywords is not null union all select p.id, {S.squeeze('p.name')}, 1 from products p join m on m.id = p.id),
+    r as (select coalesce(m.canonical_id, a.product_id) as product_id, alias, {S.norm('alias')} as normalized_alias, n, m.canonical_id is null as own from a left join m on m.id = a.product_id)
+    select product_id, alias, normalized_alias from (select *, row_number() over (partition by product_id, normalized_alias order by own desc, n, alias) as k from r where normalized_alias <> '') where k = 1"""
+)
+def consolidated_aliases(spark: SparkSession, folder: str) -> DataFrame:
+    """Aliases (here the keywords) after consolidation, the names of merged duplicates among them, each form of a product once (2.12.38, 2.12.39)."""
+    products = table(spark, folder, "products", "id", "name", "keywords")
+    aliases = products.filter("keywords is not null").select(F.col("id").alias("product_id"), F.explode(F.split("keywords", ",")).alias("alias")).withColumn("alias", F.trim("alias"))
+    return R.kept_aliases(aliases, products.select("id", "name"), _id_map(spark, folder))
+
+
 @query(
     f"""with n as (select id, name, brand_id, package_value, package_unit, barcode, row_number() over (partition by brand_id, {S.norm('name')} order by id) as k, count(*) over (partition by brand_id, {S.norm('name')}) as c from products)
     select id, case when c = 1 then name else name || ' · ' || coalesce(right(regexp_replace(barcode, '[^0-9]', '', 'g'), 4), 'ID ' || id) end as title from n"""

@@ -46,13 +46,17 @@ _CATALOGUE = f"""select p.id, p.name, b.name as brand, p.barcode, p.image_url, p
   {_n('p.subtype')} as n_subtype, {_n('p.keywords')} as n_keywords, {_n('p.search_text')} as n_search from products p left join brands b on b.id = p.brand_id where p.is_active"""
 _ORDER = f"""case when {Z.brandless('brand')} then 1 else 0 end, case when length(trim(name)) <= length(nq) + 3 then 1 else 0 end,
   cast(image_url is null as int) + cast(barcode is null as int) + cast(package_value is null or package_unit is null as int), length(name), coalesce(brand, ''), name, id"""
-_STRICT = f"""with c as ({_CATALOGUE}), q as (select query_id, {S.norm('query')} as nq, string_split({S.norm('query')}, ' ') as words from {_ASKED_SQL}),
+def strict_sql(asked: str, limit: int = 20) -> str:
+    return f"""with c as ({_CATALOGUE}), q as (select query_id, {S.norm('query')} as nq, string_split({S.norm('query')}, ' ') as words from {asked}),
   h as (select *, concat_ws(' ', n_name, n_brand, n_aliases, n_subtype, n_keywords, n_search) as hay from c, q),
   m as (select * from h where len(list_filter(words, lambda w: not contains(hay, w))) = 0),
   r as (select *, case when n_name = nq then 1 when n_brand = nq then 2 when starts_with(n_name, nq) then 3 when len(list_filter(words, lambda w: not contains(n_name, w))) = 0 then 4
     when len(list_filter(words, lambda w: not contains(n_name || ' ' || n_brand, w))) = 0 then 5 else 6 end as rel, case when len(words) = 1 and n_name = nq then 1 else 0 end as plain from m),
   k as (select query_id, id, cast(row_number() over (partition by query_id order by plain, rel, {_ORDER}) as integer) as rank from r)
-  select query_id, id, rank from k where rank <= 20"""
+  select query_id, id, rank from k where rank <= {limit}"""
+
+
+_STRICT = strict_sql(_ASKED_SQL)
 
 
 @query(_STRICT)
@@ -127,13 +131,13 @@ def seen_anti_join(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "products", "id", "is_active").filter("is_active").join(seen, "id", "left_anti").select("id")
 
 
-_RATINGS = """select user_id, product_id, score from (select o.o_custkey as user_id, l.l_partkey as product_id,
+RATINGS_SQL = """select user_id, product_id, score from (select o.o_custkey as user_id, l.l_partkey as product_id,
   cast(least(10, greatest(1, 3 + l.l_partkey % 7 + (o.o_custkey + l.l_linenumber) % 3)) as int) as score,
   row_number() over (partition by o.o_custkey, l.l_partkey order by o.o_orderdate desc, l.l_orderkey desc, l.l_linenumber desc, l.l_shipdate desc) as k
   from lineitem l join orders o on o.o_orderkey = l.l_orderkey) where k = 1"""
 
 
-def _ratings(spark: SparkSession, folder: str) -> DataFrame:
+def ratings(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "lineitem", "l_orderkey", "l_partkey", "l_linenumber", "l_shipdate")
     orders = table(spark, folder, "orders", "o_orderkey", "o_custkey", "o_orderdate")
     score = F.least(F.lit(10), F.greatest(F.lit(1), F.lit(3) + F.col("l_partkey") % 7 + (F.col("o_custkey") + F.col("l_linenumber")) % 3)).cast("int")
@@ -141,30 +145,30 @@ def _ratings(spark: SparkSession, folder: str) -> DataFrame:
     return R.latest(events, ["user_id", "product_id"], "o_orderdate", "l_orderkey", "l_linenumber", "l_shipdate").select("user_id", "product_id", "score")
 
 
-@query(_RATINGS)
+@query(RATINGS_SQL)
 def latest_rating_upsert(spark: SparkSession, folder: str) -> DataFrame:
     """The last rating of each user and product (2.5.8, 2.15.9)."""
-    return _ratings(spark, folder)
+    return ratings(spark, folder)
 
 
 @query(
-    f"""with r as ({_RATINGS}), g as (select sum(score) * 1.0 / count(*) as m from r), p as (select product_id, count(*) as votes, cast(sum(score) as double) / count(*) as average from r group by product_id)
+    f"""with r as ({RATINGS_SQL}), g as (select sum(score) * 1.0 / count(*) as m from r), p as (select product_id, count(*) as votes, cast(sum(score) as double) / count(*) as average from r group by product_id)
     select product_id, votes, round(average, 6) as average, round(votes / (votes + 20.0) * average + 20.0 / (votes + 20.0) * (select cast(m as double) from g), 6) as weighted from p"""
 )
 def rating_bayes(spark: SparkSession, folder: str) -> DataFrame:
     """Votes, mean and shrunken mean of each product (2.4.1-2.4.6)."""
-    return R.shrunken_ratings(_ratings(spark, folder)).select("product_id", "votes", F.round("average", 6).alias("average"), F.round("weighted", 6).alias("weighted"))
+    return R.shrunken_ratings(ratings(spark, folder)).select("product_id", "votes", F.round("average", 6).alias("average"), F.round("weighted", 6).alias("weighted"))
 
 
 @query(
-    f"""with r as ({_RATINGS}), p as (select product_id, count(*) as votes from r group by product_id),
+    f"""with r as ({RATINGS_SQL}), p as (select product_id, count(*) as votes from r group by product_id),
     t as (select product_id, votes, least(100.0, ln(votes + 1.0) / ln(101.0) * 100) * 0.85 + 90.0 * 0.15 as plain from p)
     select product_id, round(cast(least(plain, case when votes < 5 then 30.0 when votes < 20 then 55.0 when votes < 100 then 79.0 else 100.0 end) as double), 6) as trust,
     case when votes < 5 then 'very_low' when votes < 20 then 'low' when votes < 100 then 'medium' else 'high' end as level from t"""
 )
 def trust_by_votes(spark: SparkSession, folder: str) -> DataFrame:
     """Trust score and level of each product from its votes (2.11.2-2.11.4, 2.11.11)."""
-    votes = _ratings(spark, folder).groupBy("product_id").agg(F.count(F.lit(1)).alias("votes"))
+    votes = ratings(spark, folder).groupBy("product_id").agg(F.count(F.lit(1)).alias("votes"))
     return votes.select("product_id", F.round(R.trust_score(F.col("votes"), F.lit(90.0)), 6).alias("trust"), R.trust_level(F.col("votes")).alias("level"))
 
 
