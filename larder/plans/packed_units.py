@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from larder.operators.packed import found_packed, packed_fields, score_signs, split_packed
-from larder.operators.quantities import catalogue_amounts, infer_units
+from larder.operators.quantities import catalogue_amounts, holdout_units, infer_units
 from larder.runtime import table
 
 
@@ -45,5 +45,10 @@ def p2_amounts(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("src_table", "rec_id", "base_unit", "amount_milli", "stated_in", "confidence", "uncertain")
 
 
-QUERIES = {"p1_found": p1_found, "p1_values": p1_values, "p1_signs": p1_signs, "p2_found": p2_found, "p2_amounts": p2_amounts}
+def p2_holdout(spark: SparkSession, folder: str) -> DataFrame:
+    """How well the mixture gives stated numbers their units back, over all records with a stated pair of number and unit."""
+    return holdout_units(_amounts(spark, folder))
+
+
+QUERIES = {"p1_found": p1_found, "p1_values": p1_values, "p1_signs": p1_signs, "p2_found": p2_found, "p2_amounts": p2_amounts, "p2_holdout": p2_holdout}
 SQL: dict[str, str] = {}
