@@ -11,6 +11,7 @@ from larder.plans import identity_sql as Z
 from larder.plans import sqltext as S
 from larder.plans.search_queries import _ASKED_SQL, _asked
 from larder.runtime import small_broadcast, table
+from larder.sources import catalogue_pages as K
 
 
 def _cards(spark: SparkSession, folder: str) -> DataFrame:
@@ -54,6 +55,26 @@ def candidate_relevance(spark: SparkSession, folder: str) -> DataFrame:
     return scored.filter("relevance >= 0.42")
 
 
+def provider_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """Records relevant to each stated query by its telling words, with their scores (2.14.8-2.14.13, 2.14.28, 2.14.38-2.14.44)."""
+    records = table(spark, folder, "prepared_products", "rec_id", "name")
+    met = records.join(F.broadcast(_asked(spark)), F.lit(True))  # the stated queries against all records
+    found = met.select("query_id", "rec_id", K.is_relevant(F.col("query"), F.col("name")).alias("relevant"), F.round(K.name_score(F.col("query"), F.col("name")), 6).alias("score"), F.round(K.coverage(F.col("query"), F.col("name")), 6).alias("coverage"), K.query_kind(F.col("query")).alias("kind"))
+    return found.filter("relevant or score >= 0.2")
+
+
+def provider_fields(spark: SparkSession, folder: str) -> DataFrame:
+    """Package and subtype read from each record's name (2.14.14, 2.14.15, 2.14.35)."""
+    found = table(spark, folder, "prepared_products", "rec_id", "name").withColumn("p", K.package_in_text(F.col("name")))
+    return found.select("rec_id", F.col("p.value").alias("package_value"), F.col("p.unit").alias("package_unit"), K.subtype_in_text(F.col("name")).alias("subtype"))
+
+
+def source_addresses(spark: SparkSession, folder: str) -> DataFrame:
+    """Article, clean address and kind of each source link (2.14.16-2.14.18)."""
+    url = F.col("source_url")
+    return table(spark, folder, "product_sources", "id", "source_url").filter("source_url is not null").select("id", K.source_id(url).alias("article"), K.clean_url(url).alias("address"), K.is_item_url(url).alias("item"))
+
+
 def enrichment_queries(spark: SparkSession, folder: str) -> DataFrame:
     """What to ask a provider for each card (2.13.24)."""
     return C.enrichment_queries(_cards(spark, folder))
@@ -91,11 +112,36 @@ _TARGETS = f"""with {_EVALUATED}, a as (select c.id, c.name, c.brand, {Z.code('b
 _BASE_QUERY = f"nullif(concat_ws(' ', {Z.filled('brand')}, {Z.filled('name')}), '')"
 _WORDS = lambda x: f"list_distinct(list_filter(string_split({S.norm(x)}, ' '), lambda w: length(w) >= 2))"
 
-QUERIES = {f.__name__: f for f in (card_completeness, missing_fields, targeted_candidates, candidate_relevance, enrichment_queries)}
+_TOK = lambda x: f"list_filter(regexp_extract_all({_FOLDED(x)}, '[a-zа-я0-9]+'), lambda w: length(w) >= 2)"
+_LIKE = "w = x or (length(w) >= 4 and length(x) >= 4 and (contains(w, x) or contains(x, w)))"
+_KINDS = [
+    "кофе", "чай", "молоко", "сметана", "кефир", "йогурт", "сыр", "масло", "вода", "сок", "пицца", "сельдь", "рыба", "мясо", "колбаса", "макароны", "рис", "гречка", "мука", "сахар", "соль", "хлеб", "печенье", "шоколад", "конфеты", "мороженое", "пельмени",
+    "вареники", "творог", "сливки", "яйца", "яйцо", "продукт", "продукты", "напиток", "напитки",
+]
+_GENERAL = S.in_list([*_KINDS, *"растворимый растворимое молотый молотое зерновой зерновое зернах черный зеленый питьевой питьевое пастеризованный пастеризованное ультрапастеризованный ультрапастеризованное безлактозный безлактозное замороженный замороженная замороженное сливочный сливочная средний средняя жирности гост".split()])
+_SUBTYPES = [
+    ("Молотый", ["молотый", "молотая", "ground"]), ("В зёрнах", ["в зернах", "зерновой", "зерновая", "beans"]), ("Растворимый", ["растворимый", "instant"]), ("В капсулах", ["в капсулах", "капсулы", "капсульный"]), ("Пастеризованное", ["пастеризован"]),
+    ("Безлактозное", ["безлактоз", "без лактозы"]),
+]
+
+QUERIES = {f.__name__: f for f in (card_completeness, missing_fields, targeted_candidates, candidate_relevance, provider_matches, provider_fields, source_addresses, enrichment_queries)}
 SQL = {
     "card_completeness": f"with {_EVALUATED} select id, score, identity, presentation, array_to_string(missing, ',') as missing, array_to_string(weak, ',') as weak, array_to_string(critical, ',') as critical, array_to_string(needed, ',') as next, unchecked, len(critical) = 0 and not unchecked and score >= 85 and identity >= 55 and presentation >= 80 as complete from n",
     "missing_fields": f"with {_EVALUATED}, f as (select unnest(needed) as field from n) select field, count(*) as cards from f group by field",
     "targeted_candidates": _TARGETS,
+    "provider_matches": f"""with t as (select query_id, rec_id, query, name, {_TOK('query')} as a, {_TOK('name')} as h, {_FOLDED('query')} as fq, {_FOLDED('name')} as fn from prepared_products, {_ASKED_SQL}),
+      m as (select *, list_filter(a, lambda w: len(list_filter(h, lambda x: {_LIKE})) > 0) as met, list_filter(a, lambda w: w not in {_GENERAL}) as anchors from t),
+      s as (select *, len(list_filter(anchors, lambda w: not list_contains(met, w))) = 0 as whole, case when len(a) = 0 or len(h) = 0 then 0.0 else len(met) / len(a) end as coverage, len(list_filter(a, lambda w: list_contains(h, w))) as exact from m),
+      r as (select query_id, rec_id, whole and len(a) > 0 and case when len(a) = 1 then coverage >= 1 else coverage >= 0.5 end as relevant, round(coverage, 6) as coverage, list_filter(a, lambda w: w in {S.in_list(_KINDS)})[1] as kind,
+        round(case when len(a) = 0 or len(h) = 0 then 0.0 else least((exact + (len(met) - exact) * 0.55) / len(a) + case when contains(fn, fq) then 0.18 else 0 end + case when len(anchors) > 0 and whole then 0.2 else 0 end, 1.0) end, 6) as score from s)
+      select * from r where relevant or score >= 0.2""",
+    "provider_fields": f"""with f as (select rec_id, name, regexp_extract_all(regexp_replace(lower(name), '([^0-9\\p{{L}}.,])', '\\1\\1', 'g'), '(?:^|[^0-9])([0-9]+(?:[.,][0-9]+)?)\\s*(кг|kg|г|гр|g|л|l|мл|ml)(?:$|[^\\p{{L}}\\p{{N}}_])', 1) as v,
+      regexp_extract_all(regexp_replace(lower(name), '([^0-9\\p{{L}}.,])', '\\1\\1', 'g'), '(?:^|[^0-9])([0-9]+(?:[.,][0-9]+)?)\\s*(кг|kg|г|гр|g|л|l|мл|ml)(?:$|[^\\p{{L}}\\p{{N}}_])', 2) as u from prepared_products)
+      select rec_id, try_cast(replace(v[-1], ',', '.') as decimal(12, 3)) as package_value, case u[-1] when 'гр' then 'г' when 'g' then 'г' when 'kg' then 'кг' when 'ml' then 'мл' when 'l' then 'л' else u[-1] end as package_unit,
+      case {' '.join(f"when {' or '.join(f'contains({_FOLDED(chr(110) + chr(97) + chr(109) + chr(101))}, {chr(39)}{t}{chr(39)})' for t in terms)} then '{title}'" for title, terms in _SUBTYPES)} end as subtype from f""",
+    "source_addresses": r"""with a as (select id, source_url, regexp_replace(regexp_replace(trim(source_url), '[?#].*$', ''), '/+$', '') as address from product_sources where source_url is not null), b as (select *, string_split(address, '/')[-1] as last from a),
+      c as (select *, list_filter(string_split_regex(last, '[^0-9]+'), lambda d: length(d) between 7 and 14) as n from b)
+      select id, case when len(n) > 0 then n[-1] else nullif(last, '') end as article, address, contains(lower(source_url), '/product/') or contains(lower(source_url), '/products/') or (contains(lower(source_url), '/catalog/') and len(n) > 0) as item from c""",
     "enrichment_queries": f"""with c as (select p.*, b.name as brand from products p left join brands b on b.id = p.brand_id),
       q as (select id, {_BASE_QUERY} as base, {_BASE_QUERY} || ' ' || {Z.number('cast(package_value as varchar)')} || ' ' || {Z.filled('package_unit')} as whole from c),
       l as (select id, list_filter([whole, base], lambda x: x is not null) as asked from q where base is not null) select id, cast(generate_subscripts(asked, 1) - 1 as integer) as pos, unnest(asked) as query from l""",

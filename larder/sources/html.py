@@ -10,7 +10,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import DataFrame
 
-_SKIPPED, _HEADINGS = {"script", "style", "noscript"}, {"h1", "h2", "h3"}
+_SKIPPED, _HEADINGS = {"script", "style", "noscript"}, {"h1", "h2", "h3", "h4"}
 
 
 class Page(HTMLParser):
@@ -21,6 +21,7 @@ class Page(HTMLParser):
         self.headings: list[str] = []
         self.links: list[tuple[str, str]] = []
         self.texts: list[str] = []
+        self.under: list[tuple[str, str]] = []
         self.meta: dict[str, str] = {}
         self.linked: list[dict] = []
         self._open: list[str] = []
@@ -59,6 +60,8 @@ class Page(HTMLParser):
             self._data += data
         if not (self._open and self._open[-1] in (*_SKIPPED, "ld")) and data.strip():
             self.texts.append(" ".join(data.split()))
+            if not (self._open and self._open[-1] in _HEADINGS):
+                self.under.append((self.headings[-1] if self.headings else "", self.texts[-1]))
             if self._link is not None:
                 self._link[1] += " " + data
 
@@ -83,6 +86,12 @@ class Page(HTMLParser):
                 return v
         return {}
 
+    def section(self, heading: str, most: int = 1500) -> str | None:
+        """The text between a heading and the next one, up to ``most`` letters."""
+        wanted = " ".join(heading.lower().replace("ё", "е").split())
+        found = " ".join(t for h, t in self.under if h.lower().replace("ё", "е") == wanted and t != h)
+        return found[:most] or None
+
     def labelled(self, *labels: str) -> str | None:
         """The text after a label, in the same piece or the next."""
         wanted = [x.lower() for x in labels]
@@ -109,10 +118,10 @@ def read_page(html: str | None, url: str | None) -> dict:
     p = Page(html or "")
     node = p.product()
     image = _text(node.get("image")) or p.meta.get("og:image") or p.meta.get("twitter:image")
-    code = next((c for c in (_text(node.get(k)) for k in ("gtin13", "gtin12", "gtin14", "gtin8", "gtin")) if c), None) or p.labelled("штрихкод", "barcode")
+    code = next((c for c in (_text(node.get(k)) for k in ("gtin13", "gtin12", "gtin14", "gtin8", "gtin")) if c), None) or p.labelled("штрихкод", "barcode", "ean", "gtin")
     return {
-        "name": _text(node.get("name")) or (p.headings[0] if p.headings else None) or p.meta.get("og:title"), "brand": _text(node.get("brand")) or p.labelled("бренд", "торговая марка", "brand"), "barcode": code,
-        "category": _text(node.get("category")) or p.labelled("категория", "category"), "image_url": urljoin(url or "", image) if image else None, "description": _text(node.get("description")) or p.meta.get("description"),
+        "name": _text(node.get("name")) or (p.headings[0] if p.headings else None) or p.meta.get("og:title"), "brand": _text(node.get("brand")) or p.labelled("бренд", "торговая марка", "марка", "brand"), "barcode": code,
+        "category": _text(node.get("category")) or p.labelled("категория", "тип товара", "тип", "category"), "image_url": urljoin(url or "", image) if image else None, "description": _text(node.get("description")) or p.section("описание") or p.meta.get("description"),
         "links": [{"url": urljoin(url or "", h), "text": t} for h, t in p.links],
     }
 
