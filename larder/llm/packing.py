@@ -16,7 +16,7 @@ from larder.llm.encode import encode_texts
 from larder.runtime import Scratch
 
 #: Tokens a shard packs, about; its open containers are the price, its length the work of one task.
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 16_000_000
 
 
 class Levels:
