@@ -76,12 +76,16 @@ def without_brand(name: Column, brand: Column) -> Column:
     return F.when(brand.isNull() | T.is_unknown_brand(brand) | (b == ""), n).otherwise(cut)
 
 
-def canonical_family(*fields: Column) -> Column:
-    """The first canonical family whose parts occur in the fields (name, category, subtype, keywords), null if none does."""
+def family_source(*fields: Column) -> Column:
+    """The fields (name, category, subtype, keywords) as one normal form without technical phrases."""
     text = T.normalize_text(F.concat_ws(" ", *fields))
     for phrase in FAMILY_PHRASES:
         text = F.regexp_replace(text, rf"(?<![\p{{L}}\p{{N}}_]){phrase}(?![\p{{L}}\p{{N}}_])", " ")
-    source = F.trim(F.regexp_replace(text, " +", " "))
+    return F.trim(F.regexp_replace(text, " +", " "))
+
+
+def canonical_family(source: Column) -> Column:
+    """The first canonical family whose parts occur in a ``family_source``, null if none does."""
 
     def holds(must: str, any_of: list[str], never: str) -> Column:
         test = F.contains(source, F.lit(must)) if must else F.lit(True)
@@ -97,8 +101,9 @@ def named_families(listings: DataFrame) -> DataFrame:
 
     ``listings`` has id, category_id, name, brand, subtype and keywords. Families are one within a category; a listing whose
     name leaves nothing has none and no row."""
-    told = listings.select("id", "category_id", T.normalize_text(canonical_family(F.col("name"), F.col("subtype"), F.col("keywords"))).alias("_c"), family_name(F.col("name"), F.col("brand"), F.col("subtype")).alias("_f"))
-    # the generator keeps the filter from being inlined into the rules, which would repeat them
+    # the generators keep each step's expression from being repeated inside the next
+    read = listings.select("id", "category_id", F.explode(F.array(F.struct(family_source(F.col("name"), F.col("subtype"), F.col("keywords")).alias("s"), family_name(F.col("name"), F.col("brand"), F.col("subtype")).alias("f")))).alias("_x"))
+    told = read.select("id", "category_id", T.normalize_text(canonical_family(F.col("_x.s"))).alias("_c"), F.col("_x.f").alias("_f"))
     named = told.select("id", "category_id", F.explode(F.array(F.struct(F.coalesce("_c", "_f").alias("family"), F.col("_c").isNotNull().alias("canonical")))).alias("_x")).select("id", "category_id", "_x.*").filter("family is not null")
     ids = named.groupBy("family", "category_id").agg(F.min("id").alias("family_id"))
     return named.join(ids, ["family", "category_id"]).select("id", "family", "family_id", "canonical")
