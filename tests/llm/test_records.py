@@ -216,3 +216,29 @@ def test_search_equals_brute_force(spark):
     assert recall >= L.RECALL and probes <= 12
     near = {(r["q"], r["r"]) for r in L.search_lists(df, centres, 12, 0.15, L.Scratch(spark, "all")).filter("kind = 0").collect()}
     assert near == {(i, int(j)) for i in range(300) for j in [j for j in sorted(range(300), key=lambda j: (-score[i, j], j)) if score[i, j] >= 0.15 - 1e-6][: L.NEIGHBOURS]}
+
+
+def test_full_cells_do_not_blur_the_lines(spark, monkeypatch):
+    """Where many titles share brand and numbers, titles of one line score above the least score and those of two lines below."""
+    monkeypatch.setattr(L, "FIT_ROWS", 700)
+    rng = random.Random(6)
+    left, right = "утренняя старинная золотая вечерняя горная душистая цветущая лунная".split(), "гармония слободка береза околица ярмарка застава мельница радуга".split()
+    extra = ["хит продаж", "топ цена", "вкусно как дома", "свежая поставка", "для всей семьи", "суперцена", "новинка", "акция", "выгодно", "в подарок", "питьевое", "м д серия"]
+    rows = []
+    for brand in range(1, 241):  # a brand in four has all lines, the others two
+        lines = list(itertools.product(left, right)) if brand % 4 == 0 else [(rng.choice(left), rng.choice(right)) for _ in range(2)]
+        for line in lines:
+            for _ in range(3):
+                rows.append((1, brand, "2.5", "мл500000", "козье", " ".join(sorted({"молоко", *line, *rng.choice(extra).split(), *rng.choice(extra).split()}))))
+    rows = sorted(set(rows))
+    titles = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "cat int, brand bigint, pct string, amount string, variant string, title string, rep int")
+    embedded, _, least = L._index(titles, len(rows), L.Scratch(spark, "cells"))
+    got = {r["rep"]: r["vec"] for r in embedded.select("rep", "vec").collect()}
+    vec = L._vectors([bytes(got[i]) for i in range(len(rows))])
+    line = [tuple(w for w in r[5].split() if w in left or w in right) for r in rows]
+    same, other = [], []
+    for brand in range(4, 241, 16):
+        own = [i for i, r in enumerate(rows) if r[1] == brand]
+        for i, j in itertools.combinations(own, 2):
+            (same if line[i] == line[j] else other).append(float(vec[i] @ vec[j]))
+    assert min(same) >= least > max(other)
