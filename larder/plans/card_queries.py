@@ -37,13 +37,11 @@ def missing_fields(spark: SparkSession, folder: str) -> DataFrame:
 
 def targeted_candidates(spark: SparkSession, folder: str) -> DataFrame:
     """Whether each prepared record may fill the card its code or its brand and name lead to, with points and reason (2.13.22, 2.13.23)."""
-    cards = _cards(spark, folder).select("id", "name", "brand", "barcode", "package_value", "package_unit", T.digits_code(F.col("barcode")).alias("_code"), T.normalize_text(F.col("brand")).alias("_b"), F.get(F.split(T.normalize_text(F.col("name")), " "), F.lit(0)).alias("_w"))
-    needed = C.evaluate_cards(_cards(spark, folder)).select("id", F.col("next").alias("needed"))
-    records = table(spark, folder, "prepared_products", "rec_id", "name", "brand_name", "barcode", "package_value", "package_unit", "image_url")
-    new = records.select("rec_id", F.lit(None).cast("string").alias("new_description"), F.col("brand_name").alias("new_brand"), T.digits_code(F.col("barcode")).alias("_code"), T.normalize_text(F.col("brand_name")).alias("_b"), F.get(F.split(T.normalize_text(F.col("name")), " "), F.lit(0)).alias("_w"), *[F.col(c).alias(f"new_{c}") for c in ("name", "barcode", "package_value", "package_unit", "image_url")])
-    ends = cards.select("id", "_code").join(new.select("rec_id", "_code"), "_code").select("id", "rec_id").unionByName(cards.select("id", "_b", "_w").join(new.select("rec_id", "_b", "_w"), ["_b", "_w"]).select("id", "rec_id")).distinct()
-    met = ends.join(cards.drop("_code", "_b", "_w"), "id").join(new.drop("_code", "_b", "_w"), "rec_id").join(needed, "id")
-    return C.candidate_identity(met).select("id", "rec_id", "accepted", F.round("points", 6).alias("points"), "why")
+    columns = ["name", "brand", "barcode", "package_value", "package_unit"]
+    cards = C.evaluate_cards(_cards(spark, folder), *columns).select("id", *columns, F.col("next").alias("needed"))
+    records = table(spark, folder, "prepared_products", "rec_id", "name", "brand_name", "barcode", "package_value", "package_unit", "image_url").withColumnRenamed("brand_name", "brand")
+    new = records.select("rec_id", F.lit(None).cast("string").alias("new_description"), *[F.col(c).alias(f"new_{c}") for c in (*columns, "image_url")])
+    return C.candidate_pairs(cards, new).withColumn("points", F.round("points", 6)).select("id", "rec_id", "accepted", "points", "why")
 
 
 def candidate_relevance(spark: SparkSession, folder: str) -> DataFrame:

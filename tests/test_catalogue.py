@@ -102,3 +102,23 @@ def test_candidate_identity(spark):
     df = spark.createDataFrame([(i, *a, *b) for i, (a, b, *_) in enumerate(pairs)], schema)
     got = {r["n"]: (r["why"], r["points"]) for r in C.candidate_identity(df).collect()}
     assert got == {i: (why, float(points)) for i, (*_, why, points) in enumerate(pairs)}
+
+
+def test_candidate_pairs_are_neither_shuffled_nor_doubled(spark, monkeypatch):
+    """Each meeting pair once, by code or by brand and word, hot keys in blocks, repeated ids as often as both sides have them; no shuffle after the join."""
+    monkeypatch.setattr(C, "BLOCK_PAIRS", 20)
+    card = "id int, name string, brand string, barcode string, package_value decimal(10,3), package_unit string, needed array<string>"
+    cards = [(i, f"Молоко отборное {i % 3}", "Остамир", f"460000000{i:04d}" if i % 2 else None, Decimal(1), "л", ["image_url"]) for i in range(12)]
+    cards += [(3, "Сыр козий", "Остамир", None, None, None, []), (50, "Кефир", None, "4600000000001", None, None, []), (None, "Молоко", "Остамир", None, None, None, []), (51, None, "", None, None, None, [])]
+    record = "rec_id bigint, new_name string, new_brand string, new_barcode string, new_package_value decimal(10,3), new_package_unit string, new_image_url string, new_description string"
+    records = [(i, f"Молоко отборное {i % 3}", "остамир", f"460000000{i:04d}", Decimal(1000), "мл", "u", None) for i in range(9)] + [(70, "Сыр козий", "Остамир", None, None, None, None, None), (None, "Молоко", "Остамир", None, None, None, None, None), (71, None, "", None, None, None, None, None)]
+    a, r = spark.createDataFrame(cards, card), spark.createDataFrame(records, record)
+    found = C.candidate_pairs(a, r)
+    word = lambda name: name.lower().split()[0] if name else None
+    ends = {(x[0], y[0]) for x in cards for y in records if x[0] is not None and y[0] is not None and (x[3] and x[3] == y[3] or x[1] and y[1] and x[2] and x[2].lower() == y[2].lower() and word(x[1]) == word(y[1]))}
+    own = a.select(*[F.col(c) for c in a.columns if c != "needed"]).join(a.select("id", "needed"), "id")
+    pairs = spark.createDataFrame(sorted(ends), "id int, rec_id bigint").join(own, "id").join(r, "rec_id")
+    plain = C.candidate_identity(pairs).select("id", "rec_id", "accepted", "points", "why")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect())) and len(ends) > 100
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan[: plan.index("Join")].count("Aggregate") == 0
